@@ -52,10 +52,10 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
                         for c in LOG_SCHEMA.fieldNames()])
 
 
-def log_rows(df: DataFrame) -> DataFrame:
-    """The log's fields, with the time as epoch seconds; fields the rows lack stay out of the JSON."""
+def log_rows(df: DataFrame, *extra: str) -> DataFrame:
+    """The log's fields and any extra ones, with the time as epoch seconds; fields the rows lack stay out."""
     return df.select([to_epoch(F.col("ts")).alias("ts") if c == "ts" else F.col(c)
-                      for c in LOG_SCHEMA.fieldNames() if c in df.columns])
+                      for c in [*LOG_SCHEMA.fieldNames(), *extra] if c in df.columns])
 
 
 def append_log(df: DataFrame, path: str) -> str:
@@ -65,7 +65,7 @@ def append_log(df: DataFrame, path: str) -> str:
 
 def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """`(source, raw)`: file name and whole text of every page."""
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    pages = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return pages.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("raw"))
 
 

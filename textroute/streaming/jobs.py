@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import monitoring
 from ..operators.cleaning import clean_rows
@@ -25,9 +26,11 @@ def stream_csv(spark: SparkSession, folder: str) -> DataFrame:
         header=True, multiLine=True, quote='"', escape='"', maxFilesPerTrigger=1000).csv(folder)
 
 
-def stream_log(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.readStream.schema(LOG_SCHEMA).json(folder)
-    return rows.withColumn("ts", from_epoch(F.col("ts")).cast("timestamp"))
+def stream_log(spark: SparkSession, folder: str, extra: str | None = None, max_files: int = 1000) -> DataFrame:
+    """The log as it grows; `extra` declares further fields the writer adds."""
+    schema = T.StructType([*LOG_SCHEMA.fields, *(T.StructType.fromDDL(extra).fields if extra else [])])
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)
+    return rows.withColumn("ts", from_epoch(F.col("ts")))
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> str:
