@@ -18,38 +18,44 @@ MIN_DF = {WORD_BLOCK: 3, CHAR_BLOCK: 5}
 MAX_FEATURES = {WORD_BLOCK: 200_000, CHAR_BLOCK: 200_000}
 
 
-def word_terms(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative") -> DataFrame:
-    """`(id, term, tf)`: words of two or more characters and pairs of neighbouring words."""
-    terms = with_bigrams(F.col("_tokens"))
-    rows = spread(df.select(id_col, text), id_col).withColumn("_tokens", word_tokens(F.col(text)))
-    return (rows.select(id_col, F.explode(terms).alias("term"))
-                .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
+def term_counts(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative",
+                blocks: tuple[str, ...] = (WORD_BLOCK, CHAR_BLOCK), keep_empty: bool = False) -> DataFrame:
+    """`(id, block, term, tf)` for the chosen blocks, counted in one pass over the partitioned texts.
 
+    Words: runs of two or more word characters and pairs of neighbours. Characters: 3- to 5-grams
+    inside words padded with a space on both sides; each distinct word of a record is cut up once
+    and its grams carry the word's count, and a padded word shorter than a gram size gives no gram
+    of that size. `keep_empty` keeps a row with a null term for a block without any.
+    """
+    items = {WORD_BLOCK: with_bigrams(F.col("_tokens")),
+             CHAR_BLOCK: F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))}
+    rows = spread(df.select(id_col, text), id_col)
+    if WORD_BLOCK in blocks:
+        rows = rows.withColumn("_tokens", word_tokens(F.col(text)))
+    per_block = rows.select(id_col, F.inline(F.array(*[
+        F.struct(F.lit(b).alias("block"), items[b].alias("_items")) for b in blocks])))
+    explode = F.explode_outer if keep_empty else F.explode
+    counted = (per_block.select(id_col, "block", explode("_items").alias("term"))
+                        .groupBy(id_col, "block", "term").agg(F.count("*").alias("tf")))
+    if CHAR_BLOCK not in blocks:
+        return counted
+    is_word = (F.col("block") == WORD_BLOCK) | F.col("term").isNull()
+    sizes = F.when(is_word, F.array(F.lit(0))).otherwise(F.sequence(F.lit(3), F.least(F.lit(5), F.length("term"))))
+    starts = F.when(F.col("_size") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("term") - F.col("_size") + 1))
+    gram = F.when(F.col("_size") == 0, F.col("term")).otherwise(F.substring("term", F.col("_at"), F.col("_size")))
+    return (counted.withColumn("_size", F.explode(sizes)).withColumn("_at", F.explode(starts))
+                   .select(id_col, "block", gram.alias("term"), "tf")
+                   .groupBy(id_col, "block", "term").agg(F.sum("tf").alias("tf")))
 
-def char_terms(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative") -> DataFrame:
-    """`(id, term, tf)`: 3- to 5-grams inside words that are padded with a space on both sides.
 
-    Each distinct word of a record is cut up once and its grams carry the word's count. A padded
-    word shorter than a gram size gives no gram of that size.
-    """
-    distinct = (spread(df.select(id_col, text), id_col)
-                .select(id_col, F.explode(words(F.lower(text))).alias("_word"))
-                .groupBy(id_col, "_word").agg(F.count("*").alias("_n"))
-                .select(id_col, "_n", F.concat(F.lit(" "), "_word", F.lit(" ")).alias("_word")))
-    sizes = F.sequence(F.lit(3), F.least(F.lit(5), F.length("_word")))
-    starts = F.sequence(F.lit(1), F.length("_word") - F.col("_size") + 1)
-    return (distinct.withColumn("_size", F.explode(sizes))
-                    .withColumn("_at", F.explode(starts))
-                    .select(id_col, "_n", F.substring("_word", F.col("_at"), F.col("_size")).alias("term"))
-                    .groupBy(id_col, "term").agg(F.sum("_n").alias("tf")))
+def word_terms(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative") -> DataFrame:
+    """`(id, term, tf)` of words and pairs of words."""
+    return term_counts(df, id_col, text, (WORD_BLOCK,)).drop("block")
 
 
-def term_counts(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative",
-                blocks: tuple[str, ...] = (WORD_BLOCK, CHAR_BLOCK)) -> DataFrame:
-    """`(id, block, term, tf)` for the chosen blocks."""
-    makers = {WORD_BLOCK: word_terms, CHAR_BLOCK: char_terms}
-    parts = [makers[b](df, id_col, text).select(id_col, F.lit(b).alias("block"), "term", "tf") for b in blocks]
-    return reduce(DataFrame.unionByName, parts)
+def char_terms(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative") -> DataFrame:
+    """`(id, term, tf)` of character grams."""
+    return term_counts(df, id_col, text, (CHAR_BLOCK,)).drop("block")
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
@@ -91,13 +97,13 @@ def with_idf(vocab: DataFrame, n_docs: int) -> DataFrame:
     return vocab.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
-def weighted_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def weighted_terms(terms: DataFrame, vocab: DataFrame, how: str = "inner") -> DataFrame:
     """Terms in the vocabulary with their weight before normalisation.
 
-    `max_features` bounds the vocabulary, and its size is measured before it is broadcast; a
-    stored table of terms keeps its partitioning by id either way when it is.
+    `max_features` bounds the vocabulary, and its size is measured before it is broadcast, so the
+    terms normally keep their partitioning by id.
     """
-    hit = terms.join(broadcast_if_small(vocab), ["block", "term"])
+    hit = terms.join(broadcast_if_small(vocab), ["block", "term"], how)
     return hit.withColumn("weight", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
 
 

@@ -131,17 +131,18 @@ def logits(df: DataFrame, model: LinearModel, id_col: str = "complaint_id", text
     """`(id, z)`: one logit per class in the model's order, also for records without known terms.
 
     Each term row meets the broadcast model once and adds to one running sum per class; the
-    length-1 scaling divides the sums, so values are never normalised row by row.
+    length-1 scaling divides the sums, so values are never normalised row by row. Only the raw
+    texts are shuffled.
     """
     k = len(model.classes)
-    terms = feat.term_counts(df, id_col, text, model.blocks)
-    weighted = feat.weighted_terms(terms, model.terms)
+    terms = feat.term_counts(df, id_col, text, model.blocks, keep_empty=True)
+    weighted = feat.weighted_terms(terms, model.terms, how="left")
     sums = [F.sum(F.col("weight") * F.col("weights")[i]).alias(f"s{i}") for i in range(k)]
     per_block = weighted.groupBy(id_col, "block").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *sums)
     scored = per_block.groupBy(id_col).agg(*[F.sum(F.col(f"s{i}") / F.col("norm")).alias(f"z{i}") for i in range(k)])
     z = F.array(*[F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(model.intercepts[i]) for i in range(k)])
-    return df.select(id_col).join(scored, id_col, "left").select(id_col, z.alias("z"))
+    return scored.select(id_col, z.alias("z"))
 
 
 def predict_proba(df: DataFrame, model: LinearModel, id_col: str = "complaint_id",

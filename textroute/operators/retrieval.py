@@ -152,16 +152,16 @@ def search_scope(product: Column, index: Index) -> Column:
              .otherwise("general"))
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
-    return (queries.select("query_id", "scope", F.explode(search_tokens(F.col("text"))).alias("term"))
-                   .groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
-
-
 def _scored(queries: DataFrame, index: Index, block: int) -> DataFrame:
-    """`(query_id, place, score)` for chunks of the block that share a term with the query."""
+    """`(query_id, scope, place, score)` for chunks of the block that share a term with the query.
+
+    A query also has one row without a place, for its terms that hit nothing, so none gets lost.
+    """
     part = F.broadcast(index.postings.filter(F.col("block") == block).drop("block"))
-    return (_query_terms(queries).join(part, ["scope", "term"])
-            .groupBy("query_id", "place").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
+    terms = (queries.select("query_id", "scope", F.explode_outer(search_tokens(F.col("text"))).alias("term"))
+                    .groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
+    return (terms.join(part, ["scope", "term"], "left")
+                 .groupBy("query_id", "scope", "place").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
 
 
 def _scoped(queries: DataFrame, index: Index, product: str | None) -> DataFrame:
@@ -173,7 +173,8 @@ def bm25_scores(queries: DataFrame, index: Index, product: str | None = "product
     """`(query_id, id, score)` of all chunks that share a term with the query, unranked."""
     q = _scoped(queries, index, product)
     parts = [_scored(q, index, b) for b in range(index.n_blocks)]
-    return reduce(DataFrame.unionByName, parts).select("query_id", F.col("place.id").alias("id"), "score")
+    hits = reduce(DataFrame.unionByName, parts).filter("place is not null")
+    return hits.select("query_id", F.col("place.id").alias("id"), "score")
 
 
 # Scores are compared at this many digits, so that equal scores summed in another order stay tied.
@@ -190,13 +191,10 @@ def _block_top(queries: DataFrame, index: Index, block: int, k: int) -> DataFram
     Those have score 0 and come in corpus order; the first `k + matched` candidates of the scope
     hold at least `k` of them, or all there are.
     """
-    hits = _scored(queries, index, block).groupBy("query_id").agg(
-        F.collect_list(_entry(F.col("place"), F.col("score"))).alias("hits"))
+    hit = F.when(F.col("place").isNotNull(), _entry(F.col("place"), F.col("score")))
+    hits = _scored(queries, index, block).groupBy("query_id", "scope").agg(F.collect_list(hit).alias("hits"))
     cands = F.broadcast(index.candidates.filter(F.col("block") == block).drop("block"))
-    none = F.array().cast(hits.schema["hits"].dataType)
-    rows = (queries.select("query_id", "scope").join(hits, "query_id", "left")
-                   .withColumn("hits", F.coalesce("hits", none))
-                   .join(cands, "scope"))
+    rows = hits.join(cands, "scope")
     first = F.slice("places", F.lit(1), F.lit(k) + F.size("hits"))
     rest = F.slice(F.array_except(first, F.transform("hits", lambda x: x["place"])), 1, k)
     zeros = F.transform(rest, lambda p: _entry(p, F.lit(0.0)))
@@ -209,7 +207,9 @@ def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "
     tops = [_block_top(q, index, b, k) for b in range(index.n_blocks)]
     best = tops[0]
     if len(tops) > 1:
-        merged = reduce(DataFrame.unionByName, tops).groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+        # Partitioned again by name: a union need not keep what its parts share.
+        merged = (spread(reduce(DataFrame.unionByName, tops), "query_id")
+                  .groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("best")))
         best = merged.select("query_id", F.slice(F.array_sort("best"), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("b.place.id").alias("id"), F.col("b.score").alias("score"))

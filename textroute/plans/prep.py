@@ -329,13 +329,13 @@ def _(spark, sf_dir):
 
 
 def _span(split: str) -> str:
-    return f"(select min(date_received)::varchar || ';' || max(date_received)::varchar from final where split = '{split}') as {split}_dates"
+    return f"coalesce((select min(date_received)::varchar || ';' || max(date_received)::varchar from final where split = '{split}'), '') as {split}_dates"
 
 
 _META = f"""select
     (select count(*) from final where split = 'train') as n_train, (select count(*) from final where split = 'val') as n_val,
     (select count(*) from final where split = 'test') as n_test, {_span('train')}, {_span('val')}, {_span('test')},
-    (select string_agg(product, ';' order by product) from frequent) as classes,
+    coalesce((select string_agg(product, ';' order by product) from frequent), '') as classes,
     coalesce((select string_agg(distinct product, ';' order by product) from complaints
               where product not in (select product from frequent)), '') as dropped_classes,
     '' as unseen_in_test,
@@ -361,8 +361,8 @@ def _(spark, sf_dir):
 @query("clean_split_balance", clean_sql(
     "select split, product, count(*) as n from final group by all", "cleaned",
     {"complaints": "select * from cleaned"} | SPLIT))
-def prepared_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_balance(spark: SparkSession, sf_dir: str, min_class_count: int = 100) -> DataFrame:
     """From raw export to guarded split: rows per split and class."""
     stored = files.load_clean(spark, files.write_clean(cleaning.clean(raw_export(spark, sf_dir)), work_path(spark, "clean")))
-    rows = splitting.guarded_split(stored, min_class_count=100)
+    rows = splitting.guarded_split(stored, min_class_count=min_class_count)
     return rows.groupBy("split", "product").agg(F.count("*").alias("n"))

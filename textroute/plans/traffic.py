@@ -48,12 +48,12 @@ def _(spark, sf_dir):
 # The same with errors missing on one side and sign-ups on the other.
 _SHIFTED = _PSI | {"live": """select product as category, count(*)::double / sum(count(*)) over () as share from log
     where product <> 'error' group by product""", "known": "select * from train_dist where category <> 'signup'"}
-_SHIFTED["aligned"] = _PSI["aligned"].replace("from train_dist", "from known")
+_SHIFTED["shifted"] = _SHIFTED.pop("aligned").replace("from train_dist", "from known")
 
 
 @query("drift_status", with_ctes(["log", "train_dist"], """
     select case when round_even(sum((a - e) * ln(a / e)), 4) < 0.1 then 'stable' when round_even(sum((a - e) * ln(a / e)), 4) < 0.25
-    then 'watch' else 'investigate' end as drift_status, round(sum((a - e) * ln(a / e)), 6) as psi from aligned""", _SHIFTED))
+    then 'watch' else 'investigate' end as drift_status, round(sum((a - e) * ln(a / e)), 6) as psi from shifted""", _SHIFTED))
 def _(spark, sf_dir):
     live = monitoring.distribution(_log(spark, sf_dir).filter("product <> 'error'"))
     index = monitoring.psi(view(spark, sf_dir, "train_dist").filter("category <> 'signup'"), live)

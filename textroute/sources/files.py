@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import LOG_SCHEMA, RAW_SCHEMA
+from ..schemas import CLEAN_SCHEMA, LOG_SCHEMA, RAW_SCHEMA
 
 
 def scan_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +41,16 @@ def to_epoch(ts: Column) -> Column:
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) + micros / 1e6
 
 
+def utc_instant(ts: Column) -> Column:
+    """A UTC time stamp as the instant it means, as event-time windows need it."""
+    return F.timestamp_micros(F.round(to_epoch(ts) * 1e6).cast("long"))
+
+
+def utc_clock(instant: Column) -> Column:
+    """An instant as a UTC time stamp."""
+    return from_epoch(F.unix_micros(instant) / 1e6)
+
+
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
     """The prediction log, one JSON object per line; an empty table when there is none yet."""
     try:
@@ -77,7 +88,8 @@ def write_splits(df: DataFrame, meta: DataFrame, path: str) -> str:
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows")
+    """Clean rows with their split; the declared schema also serves a split without rows."""
+    return spark.read.schema(T.StructType([*CLEAN_SCHEMA.fields, T.StructField("split", T.StringType())])).parquet(f"{path}/rows")
 
 
 def scan_proba(spark: SparkSession, path: str, id_col: str = "complaint_id") -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators.cleaning import clean_rows
 from ..operators.guardrails import redacted
 from ..operators.linear import LinearModel, predict_proba, route
 from ..schemas import LOG_SCHEMA, RAW_SCHEMA
-from ..sources.files import from_epoch, log_rows
+from ..sources.files import from_epoch, log_rows, utc_clock, utc_instant
 
 
 def stream_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,21 +81,22 @@ def window_stats(log: DataFrame, width: str, slide: str | None = None, lateness:
     Rows later than `lateness` are dropped; a window is emitted once it can no longer change.
     Sketches merge across tasks, so a busy window is no burden to one of them.
     """
-    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    window = F.window("_at", width, slide) if slide else F.window("_at", width)
     q = F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), 10000)
-    return (log.withWatermark("ts", lateness).groupBy(window.alias("w"))
+    return (log.withColumn("_at", utc_instant(F.col("ts"))).withWatermark("_at", lateness).groupBy(window.alias("w"))
                .agg(F.count("*").alias("n_requests"), F.avg("confidence").alias("mean_confidence"),
                     F.avg(F.col("needs_review").cast("int")).alias("share_needs_review"), q.alias("q"))
-               .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_requests",
-                       "mean_confidence", "share_needs_review", F.col("q")[0].alias("latency_ms_p50"),
+               .select(utc_clock(F.col("w.start")).alias("window_start"), utc_clock(F.col("w.end")).alias("window_end"),
+                       "n_requests", "mean_confidence", "share_needs_review", F.col("q")[0].alias("latency_ms_p50"),
                        F.col("q")[1].alias("latency_ms_p95")))
 
 
 def window_counts(log: DataFrame, width: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
     """Requests per event-time window and product."""
-    window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (log.withWatermark("ts", lateness).groupBy(window.alias("w"), "product").agg(F.count("*").alias("n"))
-               .select(F.col("w.start").alias("window_start"), "product", "n"))
+    window = F.window("_at", width, slide) if slide else F.window("_at", width)
+    return (log.withColumn("_at", utc_instant(F.col("ts"))).withWatermark("_at", lateness)
+               .groupBy(window.alias("w"), "product").agg(F.count("*").alias("n"))
+               .select(utc_clock(F.col("w.start")).alias("window_start"), "product", "n"))
 
 
 def _psi_of(expected: Column, live: Column, eps: float) -> Column:
