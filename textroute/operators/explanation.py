@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import seeded_order
 from . import features as feat
 from .evaluation import class_scores, pair_counts
-from .linear import LinearModel, _ranked, predict_proba
+from .linear import LinearModel, _ranked, softmax
 
 # Length buckets closed on the right, with their labels.
 LENGTH_BUCKETS = [(200, "<200"), (500, "200-500"), (1000, "500-1k"), (2000, "1k-2k"),
@@ -37,35 +37,44 @@ def explain_rows(df: DataFrame, model: LinearModel, k: int = 10, id_col: str = "
                  text: str = "narrative") -> DataFrame:
     """Per record: predicted class, confidence, runner-up, and the terms that pushed most for and against it.
 
-    A term's contribution is its value times the predicted class's weight. Only the `k` best and
-    `k` worst terms of a record are collected.
+    A term's contribution is its value times the predicted class's weight. The terms are counted
+    once: the logits, which tell the predicted class, are sums over the same rows, and all windows
+    share the partitioning by record. Only the `k` best and `k` worst terms of a record are collected.
     """
-    ranked = predict_proba(df, model, id_col, text).select(id_col, _ranked(model.classes).alias("r")).select(
-        id_col, F.col("r")[0]["class"].alias("pred"), F.col("r")[0]["p"].alias("confidence"),
-        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"))
-    names = F.array(*[F.lit(c) for c in model.classes])
-    weighted = feat.weighted_terms(feat.term_counts(df, id_col, text, model.blocks), model.terms)
+    n = len(model.classes)
+    flat = model.terms.select("block", "term", "idf", *[F.col("weights")[i].alias(f"w{i}") for i in range(n)])
+    terms = feat.term_counts(df, id_col, text, model.blocks, keep_empty=True)
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col, "block")))
-    contrib = F.col("weight") / F.col("_norm") * F.element_at("weights", F.array_position(names, F.col("pred")).cast("int"))
-    rows = (weighted.withColumn("_norm", norm).join(ranked.select(id_col, "pred"), id_col)
-                    .select(id_col, feature_name().alias("feature"), contrib.alias("c"))
-                    .filter("c <> 0"))
+    values = feat.weighted_terms(terms, flat, how="left").withColumn("value", F.col("weight") / norm)
+    record = Window.partitionBy(id_col)
+    z = F.array(*[F.coalesce(F.sum(F.col("value") * F.col(f"w{i}")).over(record), F.lit(0.0)) + F.lit(model.intercepts[i])
+                  for i in range(n)])
+    rows = (values.withColumn("z", z)
+                  .withColumn("p", softmax("z"))
+                  .withColumn("r", _ranked(model.classes))
+                  .withColumn("pred", F.col("r")[0]["class"]))
+    weight = F.coalesce(*[F.when(F.col("pred") == c, F.col(f"w{i}")) for i, c in enumerate(model.classes)])
     # Rounded before ranking, so that sums taken in another order rank the same.
-    rows = rows.withColumn("key", F.round("c", 9))
-    best = Window.partitionBy(id_col).orderBy(F.desc("key"), "feature")
-    worst = Window.partitionBy(id_col).orderBy(F.asc("key"), "feature")
+    rows = (rows.withColumn("c", F.col("value") * weight).withColumn("key", F.round("c", 9))
+                .select(id_col, "pred", F.col("r")[0]["p"].alias("confidence"),
+                        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"),
+                        feature_name().alias("feature"), "c", "key"))
+    best = Window.partitionBy(id_col).orderBy(F.desc_nulls_last("key"), "feature")
+    worst = Window.partitionBy(id_col).orderBy(F.asc_nulls_last("key"), "feature")
+    # The first row of a record stays in any case, for its class.
     kept = (rows.withColumn("up", F.row_number().over(best)).withColumn("down", F.row_number().over(worst))
-                .filter((F.col("up") <= k) | ((F.col("down") <= k) & (F.col("c") < 0))))
+                .filter((F.col("up") <= max(k, 1)) | ((F.col("down") <= k) & (F.col("c") < 0))))
 
     def listed(cond: Column, order: str) -> Column:
         item = F.struct(F.col(order).alias("o"), "feature", F.round("c", 3).alias("c"))
-        sorted_items = F.array_sort(F.collect_list(F.when(cond, item)))
+        sorted_items = F.array_sort(F.collect_list(F.when(cond & (F.col("c") != 0), item)))
         return F.transform(sorted_items, lambda x: F.struct(x["feature"].alias("feature"), x["c"].alias("contribution")))
 
-    reasons = kept.groupBy(id_col).agg(
+    return kept.groupBy(id_col).agg(
+        F.any_value("pred").alias("pred"), F.any_value("confidence").alias("confidence"),
+        F.any_value("runner_up").alias("runner_up"),
         listed(F.col("up") <= k, "up").alias("pushed_for"),
         listed((F.col("down") <= k) & (F.col("c") < 0), "down").alias("pushed_against"))
-    return ranked.join(reasons, id_col, "left")
 
 
 def example_ids(preds: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:

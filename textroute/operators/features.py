@@ -107,11 +107,14 @@ def weighted_terms(terms: DataFrame, vocab: DataFrame, how: str = "inner") -> Da
     return hit.withColumn("weight", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str = "complaint_id") -> DataFrame:
-    """`(id, block, term, value)`: sublinear tf times idf, scaled to length 1 per record and block."""
-    weighted = weighted_terms(terms, vocab.select("block", "term", "idf"))
+def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str = "complaint_id", *keep: str) -> DataFrame:
+    """`(id, block, term, value)`: sublinear tf times idf, scaled to length 1 per record and block.
+
+    `keep` names further vocabulary columns for the result.
+    """
+    weighted = weighted_terms(terms, vocab.select("block", "term", "idf", *keep))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col, "block")))
-    return weighted.withColumn("value", F.col("weight") / norm).select(id_col, "block", "term", "value")
+    return weighted.withColumn("value", F.col("weight") / norm).select(id_col, "block", "term", "value", *keep)
 
 
 def class_weights(df: DataFrame, label: str = "product") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small, materialize, spread, work_path
+from ..session import materialize, work_path
 from . import features as feat
 
 REVIEW_THRESHOLD = 0.6
@@ -64,13 +64,13 @@ def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int =
     """
     spark = train.sparkSession
     wanted = dict(max_features or feat.MAX_FEATURES)
-    terms = materialize(feat.term_counts(train, id_col, text, blocks), "term-counts")
+    # Counted twice rather than stored: the counts are many times the size of the texts.
+    terms = feat.term_counts(train, id_col, text, blocks)
     vocab = feat.vocabulary(terms, min_df=min_df, max_features={b: wanted[b] for b in blocks})
     n_docs = train.count()
     vocab = materialize(_indexed(feat.with_idf(vocab, n_docs)), "vocabulary")
     size = vocab.count()
-    values = feat.tfidf(spread(terms, id_col), vocab, id_col).join(
-        broadcast_if_small(vocab.select("block", "term", "index")), ["block", "term"])
+    values = feat.tfidf(terms, vocab, id_col, "index")
     vectors = feature_vectors(values, size, id_col)
 
     classes = class_list(train, label)
@@ -136,8 +136,9 @@ def logits(df: DataFrame, model: LinearModel, id_col: str = "complaint_id", text
     """
     k = len(model.classes)
     terms = feat.term_counts(df, id_col, text, model.blocks, keep_empty=True)
-    weighted = feat.weighted_terms(terms, model.terms, how="left")
-    sums = [F.sum(F.col("weight") * F.col("weights")[i]).alias(f"s{i}") for i in range(k)]
+    flat = model.terms.select("block", "term", "idf", *[F.col("weights")[i].alias(f"w{i}") for i in range(k)])
+    weighted = feat.weighted_terms(terms, flat, how="left")
+    sums = [F.sum(F.col("weight") * F.col(f"w{i}")).alias(f"s{i}") for i in range(k)]
     per_block = weighted.groupBy(id_col, "block").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *sums)
     scored = per_block.groupBy(id_col).agg(*[F.sum(F.col(f"s{i}") / F.col("norm")).alias(f"z{i}") for i in range(k)])
@@ -149,11 +150,14 @@ def predict_proba(df: DataFrame, model: LinearModel, id_col: str = "complaint_id
                   text: str = "narrative") -> DataFrame:
     """`(id, p)`: class probabilities as an array in the model's order (softmax, shifted by the maximum)."""
     scored = logits(df, model, id_col, text)
-    powers = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return (scored.withColumn("_e", powers)
-                  .withColumn("_t", total)
-                  .select(id_col, F.transform("_e", lambda x: x / F.col("_t")).alias("p")))
+    return scored.select(id_col, softmax("z").alias("p"))
+
+
+def softmax(z: str) -> Column:
+    """Class probabilities from an array of logits, shifted by the largest."""
+    powers = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(z)))
+    return F.transform(powers, lambda e: e / total)
 
 
 def long_proba(proba: DataFrame, classes: list[str], id_col: str = "complaint_id") -> DataFrame:

@@ -48,8 +48,8 @@ def _weighted(block: str, min_df: int, cap: int | None = None) -> dict[str, str]
     }
 
 
-WORD_VALUES = TERMS | _weighted("word", 3)
-CHAR_VALUES = CHARS | _weighted("char", 5)
+WORD_VALUES = TERMS | _weighted("word", 3, features.MAX_FEATURES["word"])
+CHAR_VALUES = CHARS | _weighted("char", 5, features.MAX_FEATURES["char"])
 
 
 def _complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,13 @@ _VOCAB = TERMS | CHARS | _weighted("word", 3, WORD_CAP) | _weighted("char", 5, W
     select 'word' as block, term, df, total_tf from word_vocab
     union all select 'char', term, df, total_tf from char_vocab""", _VOCAB))
 def _(spark, sf_dir):
-    terms = materialize(features.term_counts(_complaints(spark, sf_dir)), "term-counts")
+    terms = features.term_counts(_complaints(spark, sf_dir))
     return features.vocabulary(terms, max_features={"word": WORD_CAP, "char": WORD_CAP})
 
 
 def word_setting(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored term counts and weighted vocabulary of the word block."""
-    terms = materialize(features.term_counts(df, blocks=("word",)), "term-counts")
+    """Term counts and weighted vocabulary of the word block."""
+    terms = features.term_counts(df, blocks=("word",))
     vocab = features.vocabulary(terms, max_features={"word": 200_000})
     return terms, materialize(features.with_idf(vocab, df.count()), "vocabulary")
 
@@ -141,8 +141,8 @@ FULL_MODEL = WORD_VALUES | CHAR_VALUES | _model_sql(["word", "char"])
 
 def fixed_model(df: DataFrame, blocks: tuple[str, ...] = ("word",)) -> linear.LinearModel:
     """The same coefficient table in Spark."""
-    terms = materialize(features.term_counts(df, blocks=blocks), "term-counts")
-    caps = {b: 10**7 for b in blocks}
+    terms = features.term_counts(df, blocks=blocks)
+    caps = {b: features.MAX_FEATURES[b] for b in blocks}
     vocab = materialize(features.with_idf(features.vocabulary(terms, max_features=caps), df.count()), "vocabulary")
     values = features.tfidf(terms, vocab).join(df.select("complaint_id", "product"), "complaint_id")
     sizes = {r["product"]: r["n"] for r in df.groupBy("product").agg(F.count("*").alias("n")).collect()}
