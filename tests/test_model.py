@@ -108,7 +108,7 @@ def four(spark):
                                     "complaint_id long, date_received date, company string, product string, narrative string, submitted_via string, narrative_len int")
     proba = spark.createDataFrame([(i, a, b) for i, _, _, a, b in rows], "complaint_id long, A double, B double")
     p = evaluation.align_proba(records, proba, ["A", "B"])
-    return records, proba, evaluation.predictions_table(records, p, ["A", "B"])
+    return records, proba, evaluation.predictions_table(p, ["A", "B"])
 
 
 def test_metrics_of_four_rows(four):

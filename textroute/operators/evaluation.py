@@ -97,17 +97,15 @@ def calibration(preds: DataFrame, n_bins: int = 10, label: str = "product") -> D
                       F.count("*").alias("n")))
 
 
-def predictions_table(records: DataFrame, proba: DataFrame, classes: list[str],
-                      label: str = "product") -> DataFrame:
+def predictions_table(aligned: DataFrame, classes: list[str], label: str = "product") -> DataFrame:
     """Source columns with pred, correct, confidence and the probability of the true class.
 
-    `proba` holds `(complaint_id, p)` with `p` in the order of `classes`.
+    `aligned` holds the records with `p`, the probabilities in the order of `classes`.
     """
     names = F.array(*[F.lit(c) for c in classes])
     best = F.array_position("p", F.array_max("p")).cast("int")
     truth = F.nullif(F.array_position(names, F.col(label)), F.lit(0)).cast("int")
-    return (records.select("complaint_id", "date_received", "company", label, "narrative")
-                   .join(proba, "complaint_id")
+    return (aligned.select("complaint_id", "date_received", "company", label, "narrative", "p")
                    .withColumn("pred", F.element_at(names, best))
                    .withColumn("correct", F.col(label) == F.col("pred"))
                    .withColumn("confidence", F.array_max("p"))
@@ -158,7 +156,7 @@ def scaled(columns: list[str]) -> Column:
 
 
 def align_proba(split: DataFrame, proba: DataFrame, classes: list[str]) -> DataFrame:
-    """`(complaint_id, p)`: probabilities from elsewhere matched one to one with the split's rows.
+    """The split's rows with `p`: probabilities from elsewhere, matched one to one and scaled to sum 1.
 
     Raises when the class columns differ, an id repeats or a row has no probabilities.
     """
@@ -168,7 +166,8 @@ def align_proba(split: DataFrame, proba: DataFrame, classes: list[str]) -> DataF
     failed = {k: v for k, v in alignment_failures(split, proba).first().asDict().items() if v}
     if failed:
         raise AlignmentError(f"rows do not match one to one: {failed}")
-    return split.select("complaint_id").join(proba, "complaint_id").select("complaint_id", scaled(classes).alias("p"))
+    wide = proba.select("complaint_id", scaled(classes).alias("p"))
+    return split.join(wide, "complaint_id")
 
 
 def compare_runs(metrics: DataFrame, names: list[str]) -> DataFrame:

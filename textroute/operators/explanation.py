@@ -111,7 +111,10 @@ def slice_scores(df: DataFrame, key: str, label: str = "product") -> DataFrame:
     Rows are counted per (slice, truth, prediction) in the map tasks; the metrics work on those
     counts. Rows without a key are left out.
     """
-    pairs = pair_counts(df.filter(F.col(key).isNotNull()), (key,), label)
+    return _pair_scores(pair_counts(df, (key,), label).filter(F.col(key).isNotNull()), key)
+
+
+def _pair_scores(pairs: DataFrame, key: str) -> DataFrame:
     totals = pairs.groupBy(key).agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
@@ -131,7 +134,13 @@ def slice_by_company(df: DataFrame, top: int = 10) -> DataFrame:
     return slice_scores(df.join(F.broadcast(largest), "company", "left_semi"), "company").orderBy(F.desc("n"), "company")
 
 
-def slice_by_channel(df: DataFrame) -> DataFrame:
-    """Scores per submission channel and, as `(all)`, over everything."""
-    overall = slice_scores(df.withColumn("submitted_via", F.lit("(all)")), "submitted_via")
-    return slice_scores(df, "submitted_via").unionByName(overall)
+def slice_by_channel(df: DataFrame, label: str = "product") -> DataFrame:
+    """Scores per submission channel and, as `(all)`, over everything.
+
+    The overall counts are added up from those per channel, rows without a channel included.
+    """
+    pairs = pair_counts(df, ("submitted_via",), label)
+    both = (pairs.withColumn("submitted_via", F.explode(F.array("submitted_via", F.lit("(all)"))))
+                 .filter("submitted_via is not null")
+                 .groupBy("submitted_via", "truth", "pred").agg(F.sum("n").alias("n")))
+    return _pair_scores(both, "submitted_via")

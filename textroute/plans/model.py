@@ -230,8 +230,8 @@ def preds_sql(body: str, extra: dict[str, str] | None = None) -> str:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _complaints(spark, sf_dir)
-    proba = evaluation.align_proba(records, view(spark, sf_dir, "proba_wide"), CLASSES)
-    table = evaluation.predictions_table(records, proba, CLASSES)
+    aligned = evaluation.align_proba(records, view(spark, sf_dir, "proba_wide"), CLASSES)
+    table = evaluation.predictions_table(aligned, CLASSES)
     return table.withColumns({
         "split": F.when(F.col("complaint_id") % 5 < 3, "val").otherwise("test"),
         "model": F.when(F.col("complaint_id") % 2 == 0, "base").otherwise("wide")})
