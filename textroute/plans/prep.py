@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, contract, profiling, splitting
 from ..schemas import CATEGORICALS, CLEAN_SCHEMA, CURRENT_LABELS, NULL_TOKENS, RAW_HEADERS, RENAMES
-from ..session import materialize, work_path
+from ..session import fill_cores, materialize, work_path
 from ..sources import files
 from .registry import joined, query, rounded
 from .views import view, with_ctes
@@ -58,7 +58,7 @@ def clean_sql(body: str, step: str = "cleaned", extra: dict[str, str] | None = N
 
 
 def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "raw_export").toDF(*RAW_HEADERS)
+    return fill_cores(view(spark, sf_dir, "raw_export").toDF(*RAW_HEADERS), "Complaint ID")
 
 
 def _present(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import drafting, guardrails, judging, retrieval
-from ..session import fill_cores, work_path
+from ..session import fill_cores, spread, work_path
 from ..sources import files
 from .model import _PROBA, predictions
 from .prep import SPACE_SQL, strip_sql
@@ -99,7 +99,7 @@ def _(spark, sf_dir):
     """Every page written as a file of its own and read back whole; the writer ends a page with a line break."""
     path = work_path(spark, "corpus")
     pages = view(spark, sf_dir, "pages_raw").select(F.col("raw").alias("value"))
-    pages.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    spread(pages, "value").write.option("maxRecordsPerFile", 1).text(path)
     return files.scan_corpus(spark, path, "*.txt").select("raw", F.col("source").endswith(".txt").alias("named"))
 
 

@@ -47,6 +47,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/textroute-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_work(spark: SparkSession) -> bool:
+    """Remove this application's intermediate tables from the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/textroute-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -87,8 +94,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows by key when the scan yields fewer partitions than there are cores.
 
-    Meant for inputs of a few files in front of costly expressions; a table of many files is
-    returned as it is, without an exchange.
+    Meant for a scan of a few files, or a projection of one, in front of costly expressions; a
+    table of many files is returned as it is, without an exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return spread(df, *keys) if df.rdd.getNumPartitions() < cores else df
