@@ -38,43 +38,43 @@ def explain_rows(df: DataFrame, model: LinearModel, k: int = 10, id_col: str = "
     """Per record: predicted class, confidence, runner-up, and the terms that pushed most for and against it.
 
     A term's contribution is its value times the predicted class's weight. The terms are counted
-    once: the logits, which tell the predicted class, are sums over the same rows, and all windows
-    share the partitioning by record. Only the `k` best and `k` worst terms of a record are collected.
+    once: one aggregation by record adds up the logits and gathers the record's own weighted terms,
+    from which the `k` best and `k` worst are taken within the row.
     """
     n = len(model.classes)
-    flat = model.terms.select("block", "term", "idf", *[F.col("weights")[i].alias(f"w{i}") for i in range(n)])
     terms = feat.term_counts(df, id_col, text, model.blocks, keep_empty=True)
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col, "block")))
-    values = feat.weighted_terms(terms, flat, how="left").withColumn("value", F.col("weight") / norm)
-    record = Window.partitionBy(id_col)
-    z = F.array(*[F.coalesce(F.sum(F.col("value") * F.col(f"w{i}")).over(record), F.lit(0.0)) + F.lit(model.intercepts[i])
-                  for i in range(n)])
-    rows = (values.withColumn("z", z)
-                  .withColumn("p", softmax("z"))
-                  .withColumn("r", _ranked(model.classes))
-                  .withColumn("pred", F.col("r")[0]["class"]))
-    weight = F.coalesce(*[F.when(F.col("pred") == c, F.col(f"w{i}")) for i, c in enumerate(model.classes)])
-    # Rounded before ranking, so that sums taken in another order rank the same.
-    rows = (rows.withColumn("c", F.col("value") * weight).withColumn("key", F.round("c", 9))
-                .select(id_col, "pred", F.col("r")[0]["p"].alias("confidence"),
-                        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"),
-                        feature_name().alias("feature"), "c", "key"))
-    best = Window.partitionBy(id_col).orderBy(F.desc_nulls_last("key"), "feature")
-    worst = Window.partitionBy(id_col).orderBy(F.asc_nulls_last("key"), "feature")
-    # The first row of a record stays in any case, for its class.
-    kept = (rows.withColumn("up", F.row_number().over(best)).withColumn("down", F.row_number().over(worst))
-                .filter((F.col("up") <= max(k, 1)) | ((F.col("down") <= k) & (F.col("c") < 0))))
-
-    def listed(cond: Column, order: str) -> Column:
-        item = F.struct(F.col(order).alias("o"), "feature", F.round("c", 3).alias("c"))
-        sorted_items = F.array_sort(F.collect_list(F.when(cond & (F.col("c") != 0), item)))
-        return F.transform(sorted_items, lambda x: F.struct(x["feature"].alias("feature"), x["c"].alias("contribution")))
-
-    return kept.groupBy(id_col).agg(
-        F.any_value("pred").alias("pred"), F.any_value("confidence").alias("confidence"),
-        F.any_value("runner_up").alias("runner_up"),
-        listed(F.col("up") <= k, "up").alias("pushed_for"),
-        listed((F.col("down") <= k) & (F.col("c") < 0), "down").alias("pushed_against"))
+    weighted = feat.weighted_terms(terms, model.terms, how="left")
+    item = F.struct(feature_name().alias("feature"), "weight", "weights")
+    per_block = weighted.groupBy(id_col, "block").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+        F.collect_list(F.when(F.col("weight").isNotNull(), item)).alias("items"),
+        *[F.sum(F.col("weight") * F.col("weights")[i]).alias(f"s{i}") for i in range(n)])
+    scaled = F.transform("items", lambda x: F.struct(
+        x["feature"].alias("feature"), (x["weight"] / F.col("norm")).alias("value"), x["weights"].alias("weights")))
+    per_record = per_block.withColumn("items", scaled).groupBy(id_col).agg(
+        F.flatten(F.collect_list("items")).alias("items"),
+        *[F.sum(F.col(f"s{i}") / F.col("norm")).alias(f"z{i}") for i in range(n)])
+    z = F.array(*[F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(model.intercepts[i]) for i in range(n)])
+    names = F.array(*[F.lit(c) for c in model.classes])
+    rows = (per_record.withColumn("z", z).withColumn("p", softmax("z")).withColumn("r", _ranked(model.classes))
+                      .withColumn("pred", F.col("r")[0]["class"])
+                      .withColumn("at", F.array_position(names, F.col("pred")).cast("int")))
+    contributions = F.transform("items", lambda x: F.struct(
+        x["feature"].alias("feature"), (x["value"] * F.element_at(x["weights"], F.col("at"))).alias("c")))
+    rows = rows.withColumn("c", F.filter(contributions, lambda x: x["c"] != 0))
+
+    def first(items: Column, sign: int) -> Column:
+        # Compared rounded, so that sums taken in another order rank the same; ties by name.
+        keyed = F.transform(items, lambda x: F.struct(
+            (F.round(x["c"], 9) * sign).alias("o"), x["feature"].alias("feature"), x["c"].alias("c")))
+        return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda x: F.struct(
+            x["feature"].alias("feature"), F.round(x["c"], 3).alias("contribution")))
+
+    return rows.select(
+        id_col, "pred", F.col("r")[0]["p"].alias("confidence"),
+        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"),
+        first(F.col("c"), -1).alias("pushed_for"),
+        first(F.filter("c", lambda x: x["c"] < 0), 1).alias("pushed_against"))
 
 
 def example_ids(preds: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
