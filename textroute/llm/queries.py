@@ -1,3 +1,3 @@
 """All queries of this subpackage."""
-from textroute.llm import decontamination, license_scan, near_duplicates, url_filter  # noqa: F401
+from textroute.llm import chunk_bpe, decontamination, license_scan, near_duplicates, token_files, url_filter  # noqa: F401
 from textroute.llm.registry import ORACLES, QUERIES  # noqa: F401
