@@ -1,3 +1,12 @@
 """All queries of this subpackage."""
-from textroute.llm import chunk_bpe, decontamination, license_scan, near_duplicates, token_files, url_filter  # noqa: F401
+from textroute.llm import (  # noqa: F401
+    chunk_bpe,
+    decontamination,
+    language_id,
+    license_scan,
+    near_duplicates,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from textroute.llm.registry import ORACLES, QUERIES  # noqa: F401
