@@ -1,4 +1,5 @@
 """All queries of this subpackage."""
+import corpus_pipeline
 from textroute.llm import (  # noqa: F401
     chunk_bpe,
     decontamination,
@@ -9,4 +10,6 @@ from textroute.llm import (  # noqa: F401
     toxicity,
     url_filter,
 )
-from textroute.llm.registry import ORACLES, QUERIES  # noqa: F401
+from textroute.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
