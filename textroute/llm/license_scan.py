@@ -7,7 +7,7 @@ each of its lines, so that a notice standing on a line of its own is found as we
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textroute.llm.license_texts import NOTICES, SPELLINGS, TEXTS
@@ -20,19 +20,17 @@ NOT_A_WORD = r"[^\p{L}\p{N}]+"
 VARIANT = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
-def canonical(text: Column) -> Column:
-    """The form in which texts are compared; empty for null."""
-    lower = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
-    plain = F.trim(F.regexp_replace(lower, NOT_A_WORD, " "))
-    same = F.map_from_arrays(F.array(*[F.lit(a) for a, _ in SPELLINGS]), F.array(*[F.lit(b) for _, b in SPELLINGS]))
-    spelled = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(same[w], w)), " ")
-    return F.when(plain.rlike(VARIANT), spelled).otherwise(plain)
-
+def with_digest(df: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """`df` with the SHA-256 of a text's canonical form in place of the text; null if no word is left.
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null if no word is left."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    Each step is a column of its own, so that none is evaluated more than once a row.
+    """
+    same = F.map_from_arrays(F.array(*[F.lit(a) for a, _ in SPELLINGS]), F.array(*[F.lit(b) for _, b in SPELLINGS]))
+    spelled = F.array_join(F.transform(F.split("plain", " "), lambda w: F.coalesce(same[w], w)), " ")
+    lower = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), COPYRIGHT_LINE, ""))
+    return (df.withColumn("plain", F.trim(F.regexp_replace(lower, NOT_A_WORD, " ")))
+            .withColumn("form", F.when(F.col("plain").rlike(VARIANT), spelled).otherwise(F.col("plain")))
+            .withColumn(name, F.when(F.col("form") != "", F.sha2("form", 256))).drop("plain", "form", text))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -49,16 +47,16 @@ def scan(df: DataFrame, licenses: DataFrame, doc_id: str = "doc_id", text: str =
     id and a digest share their notices, since they are the same text; a null id is an id like any other.
     Nothing but id and text is read.
     """
-    known = materialize(licenses.select(digest(F.col("text")).alias("known"), "license_id").filter("known is not null")
+    known = materialize(with_digest(licenses.select("license_id", "text"), "known").filter("known is not null")
                         .groupBy("known").agg(F.min("license_id").alias("license_id")), "licenses")
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     lines = rows.filter("instr(text, '\n') > 0").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    notes = (lines.select("doc_id", "text_hash", "line_no", digest(F.col("line")).alias("known")).join(known, "known")
+    notes = (with_digest(lines, "known", "line").join(known, "known")
              .select("doc_id", "text_hash", "line_no", "license_id").distinct()
              .groupBy("doc_id", "text_hash").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ";").alias("notices"),
                                                  F.count("*").alias("notice_lines")))
-    docs = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), digest(F.col("text")).alias("digest"))
+    docs = with_digest(rows.withColumn("text_hash", F.xxhash64("text")), "digest")
     whole = docs.join(known, F.col("digest") == F.col("known"), "left").drop("known")
     notes = notes.select(F.col("doc_id").alias("note_id"), F.col("text_hash").alias("note_hash"), "notices", "notice_lines")
     joined = whole.join(notes, F.col("doc_id").eqNullSafe(F.col("note_id")) & (F.col("text_hash") == F.col("note_hash")), "left")
