@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 import corpus_pipeline
 from textroute.llm import (  # noqa: F401
+    chat_format,
     chunk_bpe,
     decontamination,
     language_id,
