@@ -123,19 +123,46 @@ def error_sample(preds: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
 
 def evaluate(preds: DataFrame, classes: list[str], by: tuple[str, ...] = ("model", "split"),
              label: str = "product") -> DataFrame:
-    """`(by, metric, value)`: accuracy, averages, log loss, and F1 and support per class."""
-    parts = []
-    singles = accuracy(preds, by, label).join(f1_averages(preds, classes, by, label), list(by))
-    names = ["accuracy", "macro_f1", "weighted_f1"]
-    if "p_true" in preds.columns:
-        singles = singles.join(log_loss(preds, by), list(by))
-        names.append("log_loss")
-    parts.append(singles.unpivot(list(by), names, "metric", "value"))
-    per_class = per_class_f1(preds, classes, by, label)
-    for prefix, col in (("f1", "f1"), ("support", "support")):
-        parts.append(per_class.select(*by, F.concat(F.lit(prefix + ":"), "class").alias("metric"),
-                                      F.col(col).cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    """`(by, metric, value)`: accuracy, averages, log loss, and F1 and support per class.
+
+    The predictions are read once, into a row for each pair of labels with its count and loss; every metric is
+    a sum over those rows.
+    """
+    keys, losses = list(by), "p_true" in preds.columns
+    p = F.least(F.greatest(F.col("p_true"), F.lit(EPS)), F.lit(1.0 - EPS)) if losses else F.lit(1.0)
+    pairs = preds.groupBy(*keys, F.col(label).alias("truth"), "pred").agg(
+        F.count("*").alias("n"), F.sum(-F.log(p)).alias("loss"), F.count(p).alias("known"))
+    sides = F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                             F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("hits"),
+                             F.col("n").alias("rows"), F.col("loss").alias("loss"), F.col("known").alias("known")),
+                    F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                             F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("loss"),
+                             F.lit(0).cast("long").alias("known")))
+    names = ["support", "predicted", "hits", "rows", "loss", "known"]
+    per_class = pairs.select(*keys, F.inline(sides)).groupBy(*keys, "class").agg(*[F.sum(n).alias(n) for n in names])
+    rows = (per_class.withColumn("side", F.struct("support", "predicted", "hits")).groupBy(*keys).agg(
+        F.sum("hits").alias("hits"), F.sum("rows").alias("rows"), F.sum("loss").alias("loss"), F.sum("known").alias("known"),
+        F.map_filter(F.map_from_entries(F.collect_list(F.struct(F.coalesce("class", F.lit("")), "side"))), lambda k, v: k != "").alias("sides")))
+
+    def of(name: str) -> Column:
+        side = F.try_element_at("sides", F.lit(name))
+        support, predicted, hits = (F.coalesce(side[n], F.lit(0)) for n in ("support", "predicted", "hits"))
+        total = support + predicted
+        f1 = F.when(total > 0, 2 * hits / total).otherwise(0.0)
+        return F.struct(F.lit(name).alias("class"), f1.alias("f1"), support.alias("support"))
+    scored = rows.withColumn("classes", F.array(*[of(c) for c in classes]))
+    supported = F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + c["support"])
+    macro = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["f1"]) / len(classes)
+    weighted = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["f1"] * c["support"])
+    singles = [("accuracy", F.col("hits") / F.col("rows")), ("macro_f1", macro),
+               ("weighted_f1", F.coalesce(F.try_divide(weighted, supported.cast("double")), F.lit(0.0)))]
+    if losses:
+        singles.append(("log_loss", F.try_divide(F.col("loss"), F.col("known").cast("double"))))
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in singles])
+    listed = F.flatten(F.transform("classes", lambda c: F.array(
+        F.struct(F.concat(F.lit("f1:"), c["class"]).alias("metric"), c["f1"].alias("value")),
+        F.struct(F.concat(F.lit("support:"), c["class"]).alias("metric"), c["support"].cast("double").alias("value")))))
+    return scored.select(*keys, F.inline(F.concat(each, listed)))
 
 
 def alignment_failures(split: DataFrame, proba: DataFrame) -> DataFrame:

@@ -83,13 +83,15 @@ def check_citations(df: DataFrame, draft: str = "draft", chunk_texts: str = "chu
     """Add `citations`: cited and invalid numbers, timelines without support, and `ok`.
 
     A timeline is supported when the validly cited chunks, joined by a space, name the same number
-    of days. All steps are expressions over the row's own arrays.
+    of days. Without chunks every citation is invalid, and a null draft cites nothing: neither is ok. All
+    steps are expressions over the row's own arrays.
     """
-    n = F.size(chunk_texts)
-    pattern = unicode_pattern(TIMELINE)
+    df = df.withColumn("_chunks", F.coalesce(chunk_texts, F.array().cast("array<string>")))
+    n = F.size("_chunks")
+    pattern, text = unicode_pattern(TIMELINE), F.coalesce(F.col(draft), F.lit(""))
     valid = F.filter("_cited", lambda i: (i >= 1) & (i <= n))
-    cited_text = F.lower(F.array_join(F.transform(valid, lambda i: F.element_at(chunk_texts, i.cast("int"))), " "))
-    claims = F.arrays_zip(all_matches(F.col(draft), pattern, 1).alias("days"), all_matches(F.col(draft), pattern, 0).alias("phrase"))
+    cited_text = F.lower(F.array_join(F.transform(valid, lambda i: F.element_at("_chunks", i.cast("int"))), " "))
+    claims = F.arrays_zip(all_matches(text, pattern, 1).alias("days"), all_matches(text, pattern, 0).alias("phrase"))
     unsupported = F.transform(F.filter("_claims", lambda x: ~F.array_contains("_supported", x["days"])),
                               lambda x: F.lower(x["phrase"]))
     report = F.struct(
@@ -98,9 +100,9 @@ def check_citations(df: DataFrame, draft: str = "draft", chunk_texts: str = "chu
         F.col("_unsupported").alias("unsupported_timelines"),
         ((F.size("_cited") > 0) & (F.size(F.filter("_cited", lambda i: (i < 1) | (i > n))) == 0)
          & (F.size("_unsupported") == 0)).alias("ok"))
-    return (df.withColumn("_cited", cited_numbers(F.col(draft)))
+    return (df.withColumn("_cited", cited_numbers(F.coalesce(F.col(draft), F.lit(""))))
               .withColumn("_claims", claims)
               .withColumn("_supported", all_matches(cited_text, pattern, 1))
               .withColumn("_unsupported", unsupported)
               .withColumn("citations", report)
-              .drop("_cited", "_claims", "_supported", "_unsupported"))
+              .drop("_chunks", "_cited", "_claims", "_supported", "_unsupported"))

@@ -73,8 +73,11 @@ def parse_judgment(df: DataFrame, raw: str = "raw", stop_reason: str = "stop_rea
               .drop("_json", "_verdict"))
 
 
-def merge_judgments(drafts: DataFrame, judgments: DataFrame) -> DataFrame:
-    return drafts.join(judgments, ["condition", "complaint_id"])
+def merge_judgments(drafts: DataFrame, judgments: DataFrame, order: str | None = None) -> DataFrame:
+    """Drafts with their verdicts. `order` tells which of several verdicts in the cache was written last and counts."""
+    keys = ["condition", "complaint_id"]
+    latest = latest_rows(judgments, order, *keys).drop(order) if order else judgments
+    return drafts.join(latest, keys)
 
 
 def summarize_conditions(merged: DataFrame) -> DataFrame:

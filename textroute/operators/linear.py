@@ -4,7 +4,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,19 +36,21 @@ def _indexed(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("index", (F.row_number().over(at) - 1).cast("int"))
 
 
-def feature_vectors(values: DataFrame, size: int, id_col: str) -> DataFrame:
-    """Collect `(id, index, value)` into one sparse vector per record.
+def feature_vectors(values: DataFrame, size: int, id_col: str, ids: DataFrame) -> DataFrame:
+    """Collect `(id, index, value)` into one sparse vector per record of `ids`, empty for a record without a term.
 
     A sparse vector is stored as a plain struct, so the arrays are built in the JVM, written once
     and read back under the vector type; the fit then scans that table on every iteration.
     """
     pairs = F.array_sort(F.collect_list(F.struct("index", "value")))
-    rows = values.groupBy(id_col).agg(pairs.alias("p")).select(id_col, F.struct(
+    found = values.groupBy(id_col).agg(pairs.alias("p"))
+    rows = ids.join(found, id_col, "left").select(id_col, F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.col("p.index").alias("indices"), F.col("p.value").alias("values")).alias("features"))
+        F.coalesce("p.index", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("p.value", F.array().cast("array<double>")).alias("values")).alias("features"))
     spark, path = values.sparkSession, work_path(values.sparkSession, "vectors")
     rows.write.parquet(path)
-    schema = T.StructType([values.schema[id_col], T.StructField("features", VectorUDT())])
+    schema = T.StructType([ids.schema[id_col], T.StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(path)
 
 
@@ -71,7 +72,7 @@ def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int =
     vocab = materialize(_indexed(feat.with_idf(vocab, n_docs)), "vocabulary")
     size = vocab.count()
     values = feat.tfidf(terms, vocab, id_col, "index")
-    vectors = feature_vectors(values, size, id_col)
+    vectors = feature_vectors(values, size, id_col, train.select(id_col))
 
     classes = class_list(train, label)
     codes = F.create_map(*[x for i, name in enumerate(classes) for x in (F.lit(name), F.lit(float(i)))])
@@ -88,10 +89,7 @@ def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int =
         maxIter=max_iter, tol=1e-6, aggregationDepth=3,
     ).fit(rows)
 
-    coefficients = pd.DataFrame({
-        "index": range(size),
-        "weights": list(model.coefficientMatrix.toArray().T),
-    })
+    coefficients = list(enumerate(model.coefficientMatrix.toArray().T.tolist()))
     schema = T.StructType([T.StructField("index", T.IntegerType()),
                            T.StructField("weights", T.ArrayType(T.DoubleType()))])
     weights = spark.createDataFrame(coefficients, schema)

@@ -172,11 +172,11 @@ def _(spark, sf_dir):
 
 
 @query("load_clean", with_ctes(["complaints"], """
-    select complaint_id, narrative_len from complaints where product = 'en' and narrative_len >= 20"""))
+    select complaint_id, date_received, product, narrative, company, submitted_via, timely_response, narrative_len from complaints"""))
 def _(spark, sf_dir):
     path = files.write_clean(view(spark, sf_dir, "complaints"), work_path(spark, "clean"))
-    rows = files.load_clean(spark, path)
-    return rows.filter("product = 'en' and narrative_len >= 20").select("complaint_id", "narrative_len")
+    return files.load_clean(spark, path).select("complaint_id", "date_received", "product", "narrative", "company", "submitted_via",
+                                                "timely_response", "narrative_len")
 
 
 # Profile.
@@ -240,17 +240,13 @@ def _(spark, sf_dir):
     return rounded(profiling.length_histogram(view(spark, sf_dir, "complaints")), "bin_left")
 
 
-# Every other year is left out of this view, so that there are months to fill in.
-_GAPS = "select * from complaints where year(date_received) % 2 = 0"
-
-
 @query("monthly_volume", with_ctes(["complaints"], """
     select m::date as month, count(complaint_id) as n
     from (select unnest(generate_series(date_trunc('month', min(date_received)), date_trunc('month', max(date_received)),
-                 interval 1 month)) as m from g) s
-    left join g on date_trunc('month', g.date_received) = s.m group by 1""", {"g": _GAPS}))
+                 interval 1 month)) as m from complaints) s
+    left join complaints g on date_trunc('month', g.date_received) = s.m group by 1"""))
 def _(spark, sf_dir):
-    return profiling.monthly_volume(view(spark, sf_dir, "complaints").filter("year(date_received) % 2 = 0"))
+    return profiling.monthly_volume(view(spark, sf_dir, "complaints"))
 
 
 @query("class_share_by_year", with_ctes(["complaints"], """

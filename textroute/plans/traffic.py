@@ -45,18 +45,11 @@ def _(spark, sf_dir):
     return rounded(monitoring.psi(view(spark, sf_dir, "train_dist"), monitoring.distribution(_log(spark, sf_dir))), "psi", digits=9)
 
 
-# The same with errors missing on one side and sign-ups on the other.
-_SHIFTED = _PSI | {"live": """select product as category, count(*)::double / sum(count(*)) over () as share from log
-    where product <> 'error' group by product""", "known": "select * from train_dist where category <> 'signup'"}
-_SHIFTED["shifted"] = _SHIFTED.pop("aligned").replace("from train_dist", "from known")
-
-
 @query("drift_status", with_ctes(["log", "train_dist"], """
     select case when round_even(sum((a - e) * ln(a / e)), 4) < 0.1 then 'stable' when round_even(sum((a - e) * ln(a / e)), 4) < 0.25
-    then 'watch' else 'investigate' end as drift_status, round(sum((a - e) * ln(a / e)), 6) as psi from shifted""", _SHIFTED))
+    then 'watch' else 'investigate' end as drift_status, round(sum((a - e) * ln(a / e)), 6) as psi from aligned""", _PSI))
 def _(spark, sf_dir):
-    live = monitoring.distribution(_log(spark, sf_dir).filter("product <> 'error'"))
-    index = monitoring.psi(view(spark, sf_dir, "train_dist").filter("category <> 'signup'"), live)
+    index = monitoring.psi(view(spark, sf_dir, "train_dist"), monitoring.distribution(_log(spark, sf_dir)))
     return index.select(monitoring.drift_status(F.col("psi")).alias("drift_status"), F.round("psi", 6).alias("psi"))
 
 
@@ -182,7 +175,8 @@ def _(spark, sf_dir):
 
 _WINDOWS = {
     "kept": "select *, time_bucket(interval 6 hour, ts) as w from log",
-    "closed": """select w, count(*) as n_requests, avg(confidence) as mean_confidence, avg(needs_review::int) as share_needs_review
+    "closed": """select w, count(*) as n_requests, avg(confidence) as mean_confidence, avg(needs_review::int) as share_needs_review,
+        quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95
         from kept where w + interval 6 hour <= (select max(ts) from log) - interval 1 hour group by w""",
     "pairs": """select w, p.category, greatest(coalesce(t.share, 0), 0.0001::double) as e,
         greatest(coalesce((select count(*) from kept k where k.w = c.w and k.product = p.category)::double / c.n_requests, 0), 0.0001::double) as a
@@ -193,8 +187,10 @@ _WINDOWS = {
 
 
 @query("stream_monitor", with_ctes(["log", "train_dist"], f"""
-    select {_ts('w')} as window_start, n_requests, round(mean_confidence, 6) as mean_confidence,
-        round(share_needs_review, 6) as share_needs_review, round(psi, 6) as psi from closed join drift using (w)""", _WINDOWS))
+    select {_ts('w')} as window_start, {_ts('w + interval 6 hour')} as window_end, n_requests, round(mean_confidence, 6) as mean_confidence,
+        round(share_needs_review, 6) as share_needs_review, p50 as latency_ms_p50, p95 as latency_ms_p95, round(psi, 6) as psi,
+        case when round_even(psi, 4) < 0.1 then 'stable' when round_even(psi, 4) < 0.25 then 'watch' else 'investigate' end as drift_status
+    from closed join drift using (w)""", _WINDOWS))
 def _(spark, sf_dir):
     source = _log_files(spark, sf_dir)
     out = {n: work_path(spark, n) for n in ("stats", "counts")}
@@ -203,8 +199,7 @@ def _(spark, sf_dir):
     jobs.run_available(jobs.window_counts(log, "6 hours"), out["counts"], work_path(spark, "counts-checkpoint"))
     report = jobs.window_report(spark.read.parquet(out["stats"]), spark.read.parquet(out["counts"]),
                                 view(spark, sf_dir, "train_dist"))
-    rows = report.select("window_start", "n_requests", "mean_confidence", "share_needs_review", "psi")
-    return _shown(rounded(rows, "mean_confidence", "share_needs_review", "psi"), "window_start")
+    return _shown(rounded(report, "mean_confidence", "share_needs_review", "psi"), "window_start", "window_end")
 
 
 @query("stream_budget", _ADMIT_SQL)

@@ -18,6 +18,7 @@ from ..operators.cleaning import clean_rows
 from ..operators.guardrails import redacted
 from ..operators.linear import LinearModel, predict_proba, route
 from ..schemas import LOG_SCHEMA, RAW_SCHEMA
+from ..session import materialize
 from ..sources.files import from_epoch, log_rows, utc_clock, utc_instant
 
 
@@ -45,11 +46,11 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
            .trigger(availableNow=True).start().awaitTermination())
 
 
-def ingest(raw: DataFrame, lateness: str | None = None) -> DataFrame:
-    """Clean rows, one per id over the whole stream.
+def ingest(raw: DataFrame, lateness: str | None = "3650 days") -> DataFrame:
+    """Clean rows, one per id.
 
-    Without `lateness` every id ever seen stays in the state store; with it, ids are forgotten
-    once the received date is that much behind the newest, which bounds the state.
+    An id is forgotten once its received date is `lateness` behind the newest, which bounds the state; rows that
+    arrive later than that are dropped. With None every id ever seen stays in the state store.
     """
     rows = clean_rows(raw)
     if lateness is None:
@@ -59,11 +60,15 @@ def ingest(raw: DataFrame, lateness: str | None = None) -> DataFrame:
 
 
 def route_rows(records: DataFrame, model: LinearModel) -> DataFrame:
-    """Log rows for a batch of `(complaint_id, ts, narrative)`: redacted, scored and routed."""
-    clean = records.withColumn("narrative", redacted(F.col("narrative")))
-    routed = route(predict_proba(clean, model), model.classes)
-    return (clean.select("complaint_id", "ts", F.length("narrative").cast("long").alias("narrative_len"))
-                 .join(routed, "complaint_id").withColumn("endpoint", F.lit("predict")))
+    """Log rows for a batch of `(complaint_id, ts, narrative)`: redacted, scored and routed.
+
+    Each request is scored alone, so rows are told apart by a stored key; an id may come more than once.
+    """
+    clean = materialize(records.select("complaint_id", "ts", redacted(F.col("narrative")).alias("narrative"),
+                                       F.monotonically_increasing_id().alias("_row")), "requests")
+    routed = route(predict_proba(clean, model, "_row"), model.classes, id_col="_row")
+    return (clean.select("_row", "complaint_id", "ts", F.length("narrative").cast("long").alias("narrative_len"))
+                 .join(routed, "_row").drop("_row").withColumn("endpoint", F.lit("predict")))
 
 
 def route_stream(records: DataFrame, model: LinearModel, out: str, checkpoint: str) -> str:
