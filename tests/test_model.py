@@ -171,3 +171,25 @@ def test_explanations_add_up_to_the_logit(toy, model):
 def test_top_features_name_the_topic(model):
     got = {r["class"]: r["top_features"] for r in explanation.top_features_per_class(model, k=40).collect()}
     assert "escrow" in got["Mortgage"] and "card" in got["Credit card"]
+
+
+def test_rows_without_terms_are_trained_on(spark, toy, monkeypatch):
+    """They move the intercepts: a class that only has such rows is the answer for a text without terms."""
+    seen = {}
+    fitter = linear.LogisticRegression.fit
+
+    def fit(self, rows):
+        seen["rows"], seen["weights"] = rows.count(), rows.agg(F.sum("weight")).first()[0]
+        return fitter(self, rows)
+    monkeypatch.setattr(linear.LogisticRegression, "fit", fit)
+    blank = toy.limit(20).withColumn("complaint_id", F.col("complaint_id") + 100_000).withColumn("product", F.lit("Other")).withColumn("narrative", F.lit("? !"))
+    model = linear.fit(toy.unionByName(blank), max_iter=50)
+    assert seen["rows"] == 140 and seen["weights"] == pytest.approx(140)
+    rows = spark.createDataFrame([(1, "!!")], "complaint_id long, narrative string")
+    assert linear.predict(linear.predict_proba(rows, model), model.classes).first()["pred"] == "Other"
+
+
+def test_fixed_model_tells_classes_apart(spark):
+    from textroute.plans.registry import QUERIES as queries
+    rows = queries["route"](spark, "/root/testdata/sf0.01").groupBy("product", "needs_review").count().collect()
+    assert {r["product"] for r in rows} == {"de", "en", "es", "fr"} and {r["needs_review"] for r in rows} == {True, False}

@@ -9,27 +9,28 @@ from textroute.operators import cleaning, contract, profiling, splitting
 from textroute.schemas import CLEAN_SCHEMA, RAW_HEADERS, RAW_SCHEMA
 from textroute.sources import files
 
-PRODUCTS = ["Credit reporting", "Debt collection", "Mortgage", "Credit card", "Student loan"]
+KINDS = {"Mortgage": 9, "Student loan": 7, "Credit reporting": 6, "Debt collection": 5, "Credit card": 4}
+FIRST_ID = 50_000
+FAULTS = 6
 
 
 def raw_rows(n):
-    """Rows of an export; the first three must be dropped."""
-    rng = random.Random(3)
-    start = dt.date(2018, 1, 1)
+    """Rows of an export, a fixed cycle of kinds and firms; the last six have a fault each that cleaning must drop."""
+    rng = random.Random(11)
+    kinds = [k for k, share in KINDS.items() for _ in range(share)]
     rows = []
     for i in range(n):
-        product = rng.choices(PRODUCTS, [0.5, 0.2, 0.15, 0.1, 0.05])[0]
-        cells = dict.fromkeys(RAW_HEADERS)
-        cells.update({
-            "Date received": (start + dt.timedelta(days=i * 2500 // n)).isoformat(), "Product": product,
-            "Sub-product": "Generic", "Issue": "Issue", "Company": rng.choice(["BANK A", "BANK B", "BANK C"]),
-            "State": "MD", "Submitted via": "Web", "Company response to consumer": "Closed", "Timely response?": "Yes",
-            "Consumer complaint narrative": f"Record {i}: trouble with my {product.lower()}, \"no\" answer\nyet. " * rng.randint(1, 4),
-            "Complaint ID": str(1_000_000 + i)})
+        kind, day = kinds[i * 13 % len(kinds)], dt.date(2019, 3, 1) + dt.timedelta(days=i * 1800 // n)
+        said = " ".join(rng.choices(["they", "charged", "twice", "and", "never", "answered", "my", "letter", "about", kind.lower()], k=rng.randint(6, 30)))
+        cells = dict.fromkeys(RAW_HEADERS) | {
+            "Date received": day.isoformat(), "Product": kind, "Issue": f"Kind of trouble {i % 7}", "Company": f"Firm {i % 11} & Sons",
+            "State": ["OR", "VT", "NM"][i % 3], "Submitted via": "Phone" if i % 4 else "Fax", "Timely response?": "No" if i % 5 else "Yes",
+            "Consumer complaint narrative": f'Case {i}: {said},\nthen "nothing" more.', "Complaint ID": str(FIRST_ID + i)}
         rows.append(cells)
-    rows[0]["Consumer complaint narrative"] = None
-    rows[1]["Consumer complaint narrative"] = "short"
-    rows[2]["Date received"] = "not a date"
+    for row, (header, value) in zip(rows[-FAULTS:], [
+            ("Consumer complaint narrative", "   "), ("Consumer complaint narrative", "too few"), ("Consumer complaint narrative", "N/A"),
+            ("Date received", "2021-13-01"), ("Date received", None), ("Product", None)], strict=True):
+        row[header] = value
     return [tuple(r[h] for h in RAW_HEADERS) for r in rows]
 
 
@@ -45,10 +46,10 @@ def clean_row(spark, **cells):
     return tuple((base | cells)[c] for c in CLEAN_SCHEMA.fieldNames())
 
 
-def test_clean_drops_three_rows_and_meets_the_contract(raw):
+def test_clean_drops_faulty_rows_and_meets_the_contract(raw):
     out = cleaning.clean(raw)
     assert out.columns == CLEAN_SCHEMA.fieldNames()
-    assert out.count() == 997
+    assert out.count() == 1000 - FAULTS
     assert contract.validate(out).schema.simpleString() == CLEAN_SCHEMA.simpleString()
 
 
@@ -59,7 +60,7 @@ def test_csv_round_trip_keeps_quotes_and_line_breaks(spark, raw, tmp_path):
     back = files.scan_raw_csv(spark, path)
     assert back.exceptAll(raw).count() == 0 and back.count() == 1000
     out = files.load_clean(spark, files.write_clean(cleaning.clean(back), str(tmp_path / "clean")))
-    assert out.count() == out.select("complaint_id").distinct().count() == 997
+    assert out.count() == out.select("complaint_id").distinct().count() == 1000 - FAULTS
 
 
 def test_csv_with_other_headers_fails(spark, raw, tmp_path):
@@ -70,7 +71,7 @@ def test_csv_with_other_headers_fails(spark, raw, tmp_path):
 
 
 def test_null_tokens_strip_and_labels(spark):
-    rows = raw_rows(10)
+    rows = raw_rows(20)
     at = RAW_HEADERS.index
     for i, (narrative, product) in enumerate([("N/A", "Mortgage"), ("  text long enough to keep \t", "Credit reporting"),
                                               ("text long enough to keep", " Money transfers ")], 3):
@@ -78,10 +79,10 @@ def test_null_tokens_strip_and_labels(spark):
         r[at("Consumer complaint narrative")], r[at("Product")] = narrative, product
         rows[i] = tuple(r)
     out = {r["complaint_id"]: r for r in cleaning.clean(spark.createDataFrame(rows, RAW_SCHEMA)).collect()}
-    assert 1_000_003 not in out
-    assert out[1_000_004]["narrative"] == "text long enough to keep" and out[1_000_004]["narrative_len"] == 24
-    assert out[1_000_004]["product"] == "Credit reporting or other personal consumer reports"
-    assert out[1_000_005]["product"] == "Money transfer, virtual currency, or money service"
+    assert FIRST_ID + 3 not in out
+    assert out[FIRST_ID + 4]["narrative"] == "text long enough to keep" and out[FIRST_ID + 4]["narrative_len"] == 24
+    assert out[FIRST_ID + 4]["product"] == "Credit reporting or other personal consumer reports"
+    assert out[FIRST_ID + 5]["product"] == "Money transfer, virtual currency, or money service"
 
 
 def test_dates_without_padding_parse_and_junk_does_not(spark):
@@ -196,3 +197,19 @@ def test_exact_percentiles_match_the_builtin(spark):
     want = df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.0), F.lit(1.0)))).first()[0]
     assert exact_percentiles(df, "v", [0.5, 0.95, 0.0, 1.0]) == pytest.approx(want, rel=1e-12)
     assert exact_percentiles(df.filter("v < 0"), "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, float("inf"), 2.0], [float("-inf"), float("inf")] * 3, [float("nan"), 1.0, float("nan"), 5.0], [-1.7e308, 1.7e308, 0.0], [5e-324, 0.0, 1e-323]])
+def test_order_statistics_end_on_odd_doubles(spark, values):
+    known = sorted(v for v in values if v == v)
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert order_statistics(df, "v", list(range(len(known)))) == dict(enumerate(known))
+    low, high = exact_percentiles(df, "v", [0.0, 1.0])
+    assert (low, high) == (known[0], known[-1])
+
+
+def test_order_statistics_over_the_whole_long_range(spark):
+    values = [-2**63, 2**63 - 1, 0, 2**63 - 2, 2**63 - 3, -2**63 + 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert order_statistics(df, "v", list(range(6))) == dict(enumerate(sorted(values)))

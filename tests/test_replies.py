@@ -106,9 +106,35 @@ def test_vector_search_in_blocks_equals_one_block(spark):
     v = spark.createDataFrame(rows, "id long, embedding array<double>")
     q = v.withColumnRenamed("id", "query_id")
     one = retrieval.vector_search(q, v, k=3).orderBy("query_id", "rank").collect()
-    many = retrieval.vector_search(q, v, k=3, limit=5000).orderBy("query_id", "rank").collect()
+    many = retrieval.vector_search(q, v, k=3, block=40).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["id"]) for r in one] == [(r["query_id"], r["rank"], r["id"]) for r in many]
     assert len(one) == 603 and one[0]["id"] == 0 and one[0]["score"] == pytest.approx(1.0)
+    named = retrieval.vector_search(q, v.withColumn("id", F.concat(F.lit("page#"), "id")), k=1).filter("query_id = 7").first()
+    assert named["id"] == "page#7"
+
+
+def test_cosine_search_keeps_the_contract(spark, corpus):
+    index = retrieval.build_index(corpus, weights=retrieval.cosine_weights)
+    asked = queries(spark, (1, "fee", None), (2, "nothing known here zzz", None))
+    hits = retrieval.cosine_search(asked, index, k=3).orderBy("query_id", "rank").collect()
+    assert [r["rank"] for r in hits] == [1, 2, 3, 1, 2, 3]
+    assert all(0 <= r["score"] <= 1 + 1e-12 for r in hits)
+    assert {r["id"] for r in hits} <= {r["id"] for r in corpus.collect()}
+
+
+def test_citations_fail_closed(spark):
+    df = spark.createDataFrame([(1, "See [5].", None), (2, "See [1].", []), (3, None, ["a"]), (4, "See [1].", ["a"]), (5, "no citation", ["a"])],
+                               "id int, draft string, chunk_texts array<string>")
+    got = {r["id"]: r["citations"] for r in guardrails.check_citations(df).collect()}
+    assert {i: c["ok"] for i, c in got.items()} == {1: False, 2: False, 3: False, 4: True, 5: False}
+    assert got[1]["invalid"] == [5] and got[2]["invalid"] == [1]
+
+
+def test_the_last_verdict_counts(spark):
+    drafts = spark.createDataFrame([(1, "rag"), (2, "rag")], "complaint_id long, condition string")
+    cache = spark.createDataFrame([(1, "rag", 1, 2.0), (1, "rag", 2, 5.0), (2, "rag", 3, 1.0)], "complaint_id long, condition string, line int, accuracy double")
+    got = {r["complaint_id"]: r["accuracy"] for r in judging.merge_judgments(drafts, cache, "line").collect()}
+    assert got == {1: 5.0, 2: 1.0}
 
 
 def redact(spark, *texts):

@@ -6,6 +6,7 @@ chunks of a block leave a task.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil
@@ -99,6 +100,23 @@ def bm25_weights(chunks: DataFrame) -> DataFrame:
                  .select("id", "term", "tf", (F.col("idf") * gain).alias("weight")))
 
 
+def cosine_weights(chunks: DataFrame) -> DataFrame:
+    """`(id, term, tf, weight)`: the same for the cosine of TF-IDF vectors, before the query's length divides it."""
+    terms = postings(chunks)
+    n = chunks.agg(F.count("*")).scalar()
+    value = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(value * value).over(Window.partitionBy("id")))
+    return (terms.join(smooth_frequencies(terms, n), "term").withColumn("_norm", norm)
+                 .select("id", "term", "tf", (F.col("idf") * value / F.col("_norm")).alias("weight")))
+
+
+def smooth_frequencies(terms: DataFrame, n: Column | int) -> DataFrame:
+    """`(term, idf)`, the smoothed inverse frequency of every term of the corpus."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return terms.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
 @dataclass
 class Index:
     """Stored tables: chunks, and `(block, scope, term, place, weight)` postings per search scope."""
@@ -123,7 +141,8 @@ def _memberships(chunks: DataFrame, products: list[str]) -> DataFrame:
     return chunks.select(place, F.explode(scopes).alias("scope"))
 
 
-def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, limit: int = BROADCAST_LIMIT_BYTES) -> Index:
+def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, limit: int = BROADCAST_LIMIT_BYTES,
+                weights: Callable[[DataFrame], DataFrame] = bm25_weights) -> Index:
     """Weigh the corpus once and cut it into blocks that are small enough to broadcast.
 
     Document frequencies and mean length stay those of the whole corpus. The product names come to
@@ -134,7 +153,7 @@ def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, limit: int
                    .distinct().orderBy("p").collect())
     products = [r["p"] for r in names]
     scopes = _memberships(chunks, products)
-    weighted = bm25_weights(chunks).select("id", "term", "weight")
+    weighted = weights(chunks).select("id", "term", "weight")
     by_scope = scopes.withColumn("id", F.col("place.id")).join(weighted, "id").select("scope", "term", "place", "weight")
     stored = materialize(by_scope, "postings")
     n_blocks = max(1, ceil(chunks.count() / block_chunks), ceil(serialized_bytes(stored) / limit))
@@ -225,46 +244,54 @@ def candidate_counts(queries: DataFrame, index: Index, product: str | None = "pr
         "query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 4,
-                  limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """`(query_id, rank, id, score)` by cosine over `(query_id, embedding)` and `(id, embedding)`.
+def cosine_search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "product") -> DataFrame:
+    """`search` over an index of `cosine_weights`, with cosines as scores: same ids, filter and order of equals."""
+    terms = postings(index.chunks)
+    idf = smooth_frequencies(terms, index.chunks.agg(F.count("*")).scalar())
+    asked = (spread(queries.select("query_id", "text"), "query_id").select("query_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+             .groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    value = F.col("qtf") * F.col("idf")
+    norms = asked.join(idf, "term").groupBy("query_id").agg(F.sqrt(F.sum(value * value)).alias("_norm"))
+    hits = search(queries, index, k, product).join(norms, "query_id", "left")
+    return hits.select("query_id", "rank", "id", F.coalesce(F.col("score") / F.col("_norm"), F.lit(0.0)).alias("score"))
+
+
+VECTOR_BLOCK = 4096
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 4, block: int = VECTOR_BLOCK) -> DataFrame:
+    """`(query_id, rank, id, score)` by cosine over `(query_id, embedding)` and `(id, embedding)`, ids of any type.
 
-    The same contract as `search` with another scorer. The index is measured and sent out in
-    blocks below `limit`; a task multiplies its batch with the block and emits `k` rows per query.
+    Exact: every block of queries meets every block of vectors in a task of its own, which holds `block` rows of
+    each and emits `k` rows per query. Nothing goes through the driver.
     """
-    spark = queries.sparkSession
-    vectors = materialize(chunks.select(F.col("id").cast("long").alias("id"),
-                                        F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
-    n_blocks = max(1, ceil(serialized_bytes(vectors) / limit))
-    rows = spread(queries.select(F.col("query_id").cast("long").alias("query_id"),
-                                 F.col("embedding").cast("array<double>").alias("embedding")), "query_id")
-    parts = []
-    for b in range(n_blocks):
-        block = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toPandas()
-        if block.empty:
-            continue
-        matrix = np.stack(block["embedding"].to_numpy())
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((block["id"].to_numpy(), matrix))
-        parts.append(rows.mapInPandas(_nearest(shared, k), "query_id long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    def dealt(df: DataFrame, key: str, own: str, other: str, mine: int, others: int) -> DataFrame:
+        row = df.select(key, F.col("embedding").cast("array<double>").alias(f"{key}_vector"),
+                        F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(own))
+        return row.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    n_q, n_v = (max(1, ceil(df.count() / block)) for df in (queries, chunks))
+    left = dealt(queries, "query_id", "qb", "vb", n_q, n_v)
+    right = dealt(chunks, "id", "vb", "qb", n_v, n_q)
+    schema = T.StructType([left.schema["query_id"], right.schema["id"], T.StructField("score", T.DoubleType())])
+    scored = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(_nearest(k), schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "id")
-    return (reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(rank))
+    return (scored.withColumn("rank", F.row_number().over(rank))
             .filter(F.col("rank") <= k).select("query_id", "rank", "id", "score"))
 
 
-def _nearest(shared, k: int):
-    def run(batches):
-        ids, matrix = shared.value
-        for batch in batches:
-            if batch.empty:
-                continue
-            q = np.stack(batch["embedding"].to_numpy())
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            scores = q @ matrix.T
-            keys = np.round(scores, SCORE_DIGITS)
-            for row, qid in enumerate(batch["query_id"].to_numpy()):
-                order = np.lexsort((ids, -keys[row]))[:k]
-                yield pd.DataFrame({"query_id": qid, "id": ids[order], "score": scores[row][order]})
+def _nearest(k: int):
+    def unit(column: pd.Series) -> np.ndarray:
+        matrix = np.stack(column.to_numpy())
+        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def run(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values("id")
+        if queries.empty or chunks.empty:
+            return pd.DataFrame({"query_id": queries["query_id"][:0], "id": chunks["id"][:0], "score": np.zeros(0)})
+        scores = unit(queries["query_id_vector"]) @ unit(chunks["id_vector"]).T
+        # Stable, so that equal scores stay in the order of ids.
+        best = np.argsort(-np.round(scores, SCORE_DIGITS), axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), best.shape[1]),
+                             "id": chunks["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, axis=1).ravel()})
     return run

@@ -1,11 +1,11 @@
 """Queries over retrieval, guardrails, drafts and judged evaluation."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drafting, guardrails, judging, retrieval
-from ..session import fill_cores, spread, work_path
+from ..session import fill_cores, materialize, spread, work_path
 from ..sources import files
 from .model import _PROBA, predictions
 from .prep import SPACE_SQL, strip_sql
@@ -139,13 +139,9 @@ def _(spark, sf_dir):
 
 
 @query("bm25_score", with_ctes(["chunk_rows", "queries"], """
-    select query_id, count(*) as n_scored, round(sum(s.score), 5) as total, round(max(s.score), 6) as best
-    from scored s join cands c using (query_id, id) group by query_id""", RANKED))
+    select query_id, id, round(s.score, 6) as score from scored s join cands c using (query_id, id)""", RANKED))
 def _(spark, sf_dir):
-    """All scores, summed up per query."""
-    scores = retrieval.bm25_scores(view(spark, sf_dir, "queries"), retrieval.build_index(chunks(spark, sf_dir)))
-    return scores.groupBy("query_id").agg(F.count("*").alias("n_scored"), F.round(F.sum("score"), 5).alias("total"),
-                                          F.round(F.max("score"), 6).alias("best"))
+    return rounded(retrieval.bm25_scores(view(spark, sf_dir, "queries"), retrieval.build_index(chunks(spark, sf_dir))), "score")
 
 
 @query("product_filter", with_ctes(["chunk_rows", "queries"], """
@@ -171,6 +167,25 @@ def _(spark, sf_dir):
     return rounded(retrieval.search(view(spark, sf_dir, "queries"), index, k=12), "score")
 
 
+COSINE = {k: RANKED[k] for k in ("toks", "post", "tfs", "cands", "qterms")} | {
+    "tidf": "select term, ln((1.0::double + (select count(*) from chunk_rows)) / (1.0::double + count(*))) + 1 as idf from tfs group by term",
+    "cw": "select id, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by id)) as w from tfs join tidf using (term)",
+    "qnorm": "select query_id, sqrt(sum(qtf * idf * qtf * idf)) as norm from qterms join tidf using (term) group by query_id",
+    "scored": "select query_id, id, sum(qtf * idf * w) as raw from qterms join cw using (term) group by all",
+    "ranked": """select c.query_id, c.id, coalesce(s.raw / n.norm, 0) as score, row_number() over (partition by c.query_id
+        order by round(coalesce(s.raw, 0), 9) desc, c.position) as rank from cands c left join scored s using (query_id, id)
+        left join qnorm n on n.query_id = c.query_id""",
+}
+
+
+@query("cosine_search", with_ctes(["chunk_rows", "queries"], """
+    select query_id, rank::int as rank, id, round(score, 6) as score from ranked where rank <= 12""", COSINE))
+def _(spark, sf_dir):
+    """The same contract as BM25 with another scorer."""
+    index = retrieval.build_index(chunks(spark, sf_dir), weights=retrieval.cosine_weights)
+    return rounded(retrieval.cosine_search(view(spark, sf_dir, "queries"), index, k=12), "score")
+
+
 @query("vector_search", """
     with v as (select vec_id, embedding::double[] as e from embeddings)
     select query_id, rank::int as rank, id, round(score, 6) as score from (
@@ -183,34 +198,25 @@ def _(spark, sf_dir):
                                            vectors.withColumnRenamed("vec_id", "id"), k=5), "score")
 
 
-# Drafts against the first chunks of their product.
-
-def _first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(pred_product, chunks)`: four chunks per product, general ones included."""
-    rank = Window.partitionBy("pred_product").orderBy("position")
-    names = F.array(*[F.lit(c) for c in ("de", "en", "es", "fr")])
-    listed = chunks(spark, sf_dir).withColumn("pred_product", F.explode(
-        F.when(F.array_contains("products", "all"), names).otherwise(F.col("products"))))
-    top = listed.withColumn("rank", F.row_number().over(rank)).filter("rank <= 4")
-    items = F.array_sort(F.collect_list(F.struct("rank", "id", "title", "text")))
-    return top.groupBy("pred_product").agg(F.transform(items, lambda x: F.struct(
-        x["id"].alias("id"), x["title"].alias("title"), x["text"].alias("text"))).alias("chunks"))
-
+# Drafts against the chunks that a search with their own record finds.
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fill_cores(view(spark, sf_dir, "draft_rows"), "complaint_id")
-    return rows.join(F.broadcast(_first_chunks(spark, sf_dir)), "pred_product")
-
-
-DRAFTS = {
-    "listed": """select p as pred_product, c.*, row_number() over (partition by p order by position) as rank
-        from chunk_rows c join (select unnest(['de', 'en', 'es', 'fr']) as p) on list_contains(string_split(product_list, '|'), p)
-          or list_contains(string_split(product_list, '|'), 'all')""",
-    "first4": "select pred_product, list(text order by rank) as texts from listed where rank <= 4 group by pred_product",
-    "checked0": rf"""select d.*, texts, list_sort(list_distinct(list_transform(regexp_extract_all({fold_sql('draft')}, '\[(\d+)\]', 1),
+    """All drafts with their chunks; one that finds none has none. Texts are folded on both sides, as for prompts."""
+    rows = materialize(view(spark, sf_dir, "draft_rows"), "drafts")
+    records = rows.select("complaint_id", F.col("pred_product").alias("product"), folded(F.col("narrative")).alias("narrative"))
+    found = drafting.retrieved_chunks(records, retrieval.build_index(chunks(spark, sf_dir)), 4)
+    none = F.array().cast(drafting.CHUNKS_TYPE)
+    return rows.join(found, "complaint_id", "left").withColumn("chunks", F.coalesce("chunks", none))
+
+
+DRAFTS = _redaction_sql("draft_rows", "complaint_id, pred_product", "narrative") | {
+    "queries": f"select complaint_id as query_id, pred_product as product, txt as text from {_LAST}"} | RANKED | {
+    "found4": """select query_id as complaint_id, list(c.text order by rank) as found from ranked r join chunk_rows c using (id)
+        where rank <= 4 group by query_id""",
+    "checked0": rf"""select d.*, coalesce(found, []) as texts, list_sort(list_distinct(list_transform(regexp_extract_all({fold_sql('draft')}, '\[(\d+)\]', 1),
         lambda s: s::bigint))) as cited, regexp_extract_all({fold_sql('draft')}, '(?i)\b(\d+)\s*(?:business\s+)?days?\b', 1) as days,
         regexp_extract_all({fold_sql('draft')}, '(?i)\b(\d+)\s*(?:business\s+)?days?\b', 0) as phrases
-        from draft_rows d join first4 using (pred_product)""",
+        from draft_rows d left join found4 using (complaint_id)""",
     "checked1": r"""select *, list_filter(cited, lambda i: i < 1 or i > len(texts)) as invalid, regexp_extract_all(lower(array_to_string(
         list_transform(list_filter(cited, lambda i: i >= 1 and i <= len(texts)), lambda i: texts[i]), ' ')),
         '(?i)\b(\d+)\s*(?:business\s+)?days?\b', 1) as supported from checked0""",

@@ -5,6 +5,8 @@ the same rows. Every view covers its whole table.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +30,15 @@ VIEWS = {
                     else cast(date '2018-01-01' + cast(doc_id % 2500 as int) as string) end as date_received,
                case lang when 'en' then 'Credit reporting' when 'fr' then ' Mortgage ' when 'de' then 'Money transfers'
                     else 'Student loan' end as product,
-               'Generic' as sub_product, 'Issue' || chr(9) as issue, cast(null as string) as sub_issue,
+               'Part of ' || lang as sub_product, 'Issue' || chr(9) as issue, cast(null as string) as sub_issue,
                case when doc_id % 89 = 0 then 'N/A' when doc_id % 11 = 0 then chr(160) || ' ' || text || chr(10)
                     else text end as narrative,
                cast(null as string) as public_response,
                case when doc_id % 53 = 0 then 'None' else source end as company,
-               chr(160) || 'MD' as state, '210XX' as zip, cast(null as string) as tags,
-               'Consent provided' as consent, 'Web' as submitted_via,
+               chr(160) || 'MD' as state, '97' || cast(100 + doc_id % 900 as string) as zip, cast(null as string) as tags,
+               'Agreed' as consent, 'Web' as submitted_via,
                cast(date '2018-01-01' + cast(doc_id % 2500 as int) as string) as date_sent,
-               'Closed with explanation' as company_response, 'Yes' as timely_response,
+               'In progress' as company_response, 'Yes' as timely_response,
                cast(null as string) as disputed, cast(case when doc_id % 10 = 1 then doc_id - 1 else doc_id end as string) as complaint_id
         from documents""",
     # One probability column per class, not yet scaled to 1.
@@ -113,7 +115,8 @@ VIEWS = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables in `sf_dir`, or the table itself."""
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if table == name or re.search(rf"\b{table}\b", VIEWS.get(name, "")):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(VIEWS[name]) if name in VIEWS else spark.table(name)
 
 
