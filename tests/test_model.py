@@ -190,6 +190,24 @@ def test_rows_without_terms_are_trained_on(spark, toy, monkeypatch):
 
 
 def test_fixed_model_tells_classes_apart(spark):
-    from textroute.plans.registry import QUERIES as queries
-    rows = queries["route"](spark, "/root/testdata/sf0.01").groupBy("product", "needs_review").count().collect()
+    import __spark_entry__ as entry
+    rows = entry.queries()["route"](spark, "/root/testdata/sf0.01").groupBy("product", "needs_review").count().collect()
     assert {r["product"] for r in rows} == {"de", "en", "es", "fr"} and {r["needs_review"] for r in rows} == {True, False}
+
+
+def test_fit_needs_no_session_setting(spark, toy):
+    """Arrow is off and settings have their defaults, as in a session that isn't built here."""
+    plain = spark.newSession()
+    for key in ("spark.sql.execution.arrow.pyspark.enabled", "spark.sql.shuffle.partitions"):
+        plain.conf.unset(key)
+    plain.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    rows = plain.createDataFrame([tuple(r) for r in toy.limit(30).collect()], toy.schema)
+    model = linear.fit(rows, max_iter=5, blocks=("word",))
+    assert len(model.intercepts) == len(model.classes) and model.terms.count() > 0
+
+
+def test_metrics_read_the_predictions_once(four):
+    _, _, preds = four
+    stored = materialize(preds.withColumn("model", F.lit("m")).withColumn("split", F.lit("test")))
+    plan = evaluation.evaluate(stored, ["A", "B"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
