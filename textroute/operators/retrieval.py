@@ -188,10 +188,15 @@ def _scoped(queries: DataFrame, index: Index, product: str | None) -> DataFrame:
     return spread(queries.select("query_id", "text", search_scope(p, index).alias("scope")), "query_id")
 
 
+def _one_by_one(parts: list[DataFrame]) -> list[DataFrame]:
+    """Store the result of every block before the next one is broadcast, so that one block at a time is held."""
+    return parts if len(parts) == 1 else [materialize(part, "block") for part in parts]
+
+
 def bm25_scores(queries: DataFrame, index: Index, product: str | None = "product") -> DataFrame:
     """`(query_id, id, score)` of all chunks that share a term with the query, unranked."""
     q = _scoped(queries, index, product)
-    parts = [_scored(q, index, b) for b in range(index.n_blocks)]
+    parts = _one_by_one([_scored(q, index, b) for b in range(index.n_blocks)])
     hits = reduce(DataFrame.unionByName, parts).filter("place is not null")
     return hits.select("query_id", F.col("place.id").alias("id"), "score")
 
@@ -223,7 +228,7 @@ def _block_top(queries: DataFrame, index: Index, block: int, k: int) -> DataFram
 def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "product") -> DataFrame:
     """`(query_id, rank, id, score)`: the best `k` candidates by score, equal ones in corpus order."""
     q = _scoped(queries, index, product)
-    tops = [_block_top(q, index, b, k) for b in range(index.n_blocks)]
+    tops = _one_by_one([_block_top(q, index, b, k) for b in range(index.n_blocks)])
     best = tops[0]
     if len(tops) > 1:
         # Partitioned again by name: a union need not keep what its parts share.

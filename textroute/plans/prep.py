@@ -262,17 +262,22 @@ def _(spark, sf_dir):
 
 _CARD_KEYS = ["rows", "date_min", "date_max", "n_classes", "majority_class", "minority_class", "minority_count",
               "narrative_len_median", "narrative_len_p95", "duplicate_narratives", "n_companies"]
+# Shares as the card holds them, unrounded.
+_CARD_SHARES = {"majority_share": "(select max(n) from b)::double / (select count(*) from complaints)",
+                "imbalance_ratio": "(select max(n) from b)::double / (select min(n) from b)"}
 
 
 @query("data_card", with_ctes(["complaints"],
     " union all ".join(f"select 'summary' as section, '{k}' as key, {k}::varchar as value from summary" for k in _CARD_KEYS)
+    + "".join(f" union all select 'summary', '{k}', round({sql}, 6)::varchar" for k, sql in _CARD_SHARES.items())
     + " union all select 'class_count', product, n::varchar from b"
     + " union all select 'class_share', product, round_even(share, 3)::varchar from b"
     + ' union all select \'missing_pct\', "column", round_even(missing_pct, 1)::varchar from m',
     {"b": _BALANCE, "summary": _SUMMARY, "m": _MISSING}))
 def _(spark, sf_dir):
     card = profiling.data_card(view(spark, sf_dir, "complaints").select(_CLEAN_COLS))
-    return card.filter(~F.col("key").isin("majority_share", "imbalance_ratio"))
+    share = F.col("key").isin(*_CARD_SHARES)
+    return card.withColumn("value", F.when(share, F.round(F.col("value").cast("double"), 6).cast("string")).otherwise(F.col("value")))
 
 
 # Split and guard.

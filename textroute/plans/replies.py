@@ -317,13 +317,14 @@ def _(spark, sf_dir):
     return drafting.build_prompts(_records(spark, sf_dir), None).select("complaint_id", "prompt")
 
 
-@query("generate_drafts", with_ctes(["queries"], """
-    select query_id as complaint_id, 'Dear Customer, we will investigate within 10 business days [1].' as draft,
-           10::bigint as output_tokens from queries"""))
+@query("generate_drafts", with_ctes(["chunk_rows", "queries"], r"""
+    select complaint_id, 'Dear Customer, we will investigate within 10 business days [1].' as draft, 10::bigint as output_tokens,
+        len(regexp_extract_all(prompt, '[^\s\x0B\x1C-\x1F\x85\p{Z}]+'))::bigint as input_tokens from prompts""",
+    _PROMPTS | {"prompts": _PROMPT_BODY.format(excerpts="coalesce(e, '(no policy excerpts available)')", join="left join excerpts using (query_id)")}))
 def _(spark, sf_dir):
     prompts = drafting.build_prompts(_records(spark, sf_dir), retrieval.build_index(chunks(spark, sf_dir)))
     out = drafting.generate_batch(prompts, drafting.template_generator)
-    return out.select("complaint_id", "draft", "output_tokens")
+    return out.select("complaint_id", "draft", "input_tokens", "output_tokens")
 
 
 @query("case_refs", with_ctes(["queries"], """select query_id, 'NB-' || case when query_id < 1000000
