@@ -30,7 +30,7 @@ SUFFIX = "</w>"
 MASK = (1 << 9) - 1
 LONGEST = 1 << 13
 #: Characters of chunks that a worker remembers.
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 22
 _BASE = np.uint32(0x9E3779B1)
 
 _GAP = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -101,6 +101,7 @@ class ChunkCut(Pieces):
 
     def look_up(self, texts: list[str]) -> list[list[Chunk]]:
         """The chunks of each text, encoded where they are new to this worker."""
+        self.turn()
         if self.chars > self.room:
             self.chunks.clear()
             self.chars = 0
@@ -113,8 +114,7 @@ class ChunkCut(Pieces):
         self.stats["encoded"] += len(new)
         fresh = {part: Chunk(part) for part in new}
         seen = set().union(*(chunk.words for chunk in fresh.values()))
-        missing = seen.difference(self.memo)
-        self.learn(seen if len(self.memo) + len(missing) > self.limit else missing, "")
+        self.memo.update(self.learn(self.unknown(seen), ""))
         for part, chunk in fresh.items():
             chunk.ids = list(map(self.memo.__getitem__, chunk.words))
             self.chars += len(part)

@@ -1,8 +1,8 @@
 """Exact ids from the tokenizers library, which sees every distinct piece of text once per worker.
 
 Both tokenizers cut text at blanks, and a token never reaches over such a cut. So a text's ids are
-those of its pieces, and a worker keeps the ids of the pieces it has met. The memo is emptied when it
-is full, which costs time and changes nothing.
+those of its pieces, and a worker keeps the ids of the pieces it has met lately: when `PIECES` are new, the
+pieces before them are forgotten unless they are met again. That costs time and changes nothing.
 """
 from __future__ import annotations
 
@@ -11,15 +11,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces a worker remembers; about 150 bytes each.
-PIECES = 1 << 20
+#: Pieces of a generation; a worker remembers two, at about 200 bytes a piece.
+PIECES = 1 << 18
 #: Characters of text that are encoded at a time.
-CHARS = 1 << 20
+CHARS = 1 << 19
 GROUP = 256
 
 _SPACE = "\\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
 _LONE_BLANK = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
-_EDGE = re.compile(f"[{_SPACE}]")
+_EDGES = frozenset(c for c in map(chr, [*range(0x3001), 0xFEFF]) if re.match(f"[{_SPACE}]", c))
+_STOPS = re.compile("[.,;:!?]+\\Z")
 #: Letters and signs that neither composition nor lower case make longer or shorter in UTF-8.
 _STEADY = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 
@@ -55,66 +56,116 @@ class Pieces:
             self.width[i] = len(plain.encode()) if name in added else len(plain)
         self.limit = limit
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the library."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: Iterable[str], lead: str) -> None:
-        """Put the ids of `lead` + piece into the memo; pieces of steady width go to the library together."""
-        pieces = list(pieces)
-        if len(self.memo) + len(pieces) > self.limit:
-            self.memo.clear()
-        steady = [p for p in pieces if _STEADY.fullmatch(p)]
+    def known(self, piece: str) -> bool:
+        return piece in self.memo or piece in self.before
+
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Those that have to be learnt; what was known before is kept from now on."""
+        new = pieces.difference(self.memo)
+        again = {p: self.before[p] for p in new if p in self.before}
+        self.memo |= again
+        return new.difference(again)
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full. Not within a batch."""
+        if len(self.memo) > self.limit:
+            self.before, self.memo = self.memo, {}
+
+    def learn(self, pieces: Iterable[str], lead: str, between: str = " ") -> dict[str, bytes]:
+        """The ids of `lead` + piece. Pieces of steady width go to the library together, with `between` in between.
+
+        A `lead` is a part of the piece's own ids; a line break in between is an id of its own.
+        """
+        out, steady, rest = {}, [], []
+        for p in pieces:
+            (steady if _STEADY.fullmatch(p) else rest).append(p)
         groups = [steady[i:i + GROUP] for i in range(0, len(steady), GROUP)]
-        joined = [lead + " ".join(g) for g in groups]
+        extra = 1 if between == "\n" else 0
+        joined = [lead + between.join(g) + between * extra for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum([len(p.encode()) + len(lead) for p in group])
+            ends = np.cumsum([len(p.encode()) + len(lead) + extra for p in group])
             reach = np.concatenate([[0], np.cumsum(self.width[ids])])
             cuts = np.searchsorted(reach, ends)
             if reach[-1] != ends[-1] or (reach[cuts] != ends).any():  # a token over a cut: never seen, never trusted
-                self.memo.update(zip(group, self.whole([lead + p for p in group]), strict=True))
+                rest += group
                 continue
-            at = 0
+            at, data, size = 0, ids.tobytes(), self.dtype.itemsize
             for piece, cut in zip(group, cuts.tolist(), strict=True):
-                self.memo[piece] = ids[at:cut].tobytes()
+                out[piece] = data[at * size:(cut - extra) * size]
                 at = cut
-        rest = [p for p in pieces if not _STEADY.fullmatch(p)]
-        self.memo.update(zip(rest, self.whole([lead + p for p in rest]), strict=True))
+        out.update(zip(rest, self.whole([lead + p for p in rest]), strict=True))
+        return out
 
 
 class BlankCut(Pieces):
     """For byte-level vocabularies, where a blank before a word belongs to the word's token.
 
-    A text is cut before each blank that stands between two characters other than white space. There the
-    vocabulary's pattern always begins a new token. The memo holds each piece with that blank.
+    A text is cut before each blank that stands between two characters other than white space, and around
+    each such line break, which is an id of its own. There the vocabulary's pattern always begins a new token. The memo
+    holds each piece with the blank before it, `heads` those at the beginning of a line. Stops at the end of a word
+    of letters are a token run of their own, so such a piece is put together from the word and the stops.
     """
 
     def __init__(self, path: str, limit: int = PIECES):
         super().__init__(path, limit=limit)
-        self.heads: dict[str, bytes] = {}
+        self.heads = Pieces.__new__(Pieces)
+        self.heads.__dict__ |= self.__dict__ | {"memo": {}, "before": {}, "limit": limit >> 2}
+        self.line_break = self.whole(["\n"])[0]
+        self.stops: dict[str, bytes] = {}
+
+    def lines(self, text: str) -> list[str]:
+        """The text cut at line breaks, if all of them stand alone."""
+        lines = text.split("\n")
+        if len(lines) > 1 and any(not x or x[0] in _EDGES or x[-1] in _EDGES for x in lines):
+            return [text]
+        return lines
+
+    def cut(self, line: str) -> tuple[list[str], set[str]]:
+        """The pieces of a line, and those after the first that are new."""
+        parts = line.split(" ")
+        new = set(parts[1:]).difference(self.memo)
+        if not parts[0] or parts[0][-1] in _EDGES or any(not p or p[0] in _EDGES or p[-1] in _EDGES for p in new):
+            parts = _LONE_BLANK.split(line)
+            new = set(parts[1:]).difference(self.memo)
+        return parts, new
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        self.turn()
+        self.heads.turn()
         cuts, heads, missing = [], set(), set()
         for text in texts:
-            parts = text.split(" ")
-            new = set(parts[1:]).difference(self.memo)
-            if not parts[0] or _EDGE.match(parts[0][-1]) or any(not p or _EDGE.match(p[0]) or _EDGE.match(p[-1]) for p in new):
-                parts = _LONE_BLANK.split(text)
-                new = set(parts[1:]).difference(self.memo)
-            heads.add(parts[0])
-            missing |= new
-            cuts.append(parts)
-        if len(self.memo) + len(missing) > self.limit:  # the memo is about to be emptied
-            missing = {p for parts in cuts for p in parts[1:]}
-        self.learn(missing, " ")
-        if len(self.heads) > self.limit >> 4:
-            self.heads.clear()
-        unknown = list(heads.difference(self.heads))
-        self.heads.update(zip(unknown, self.whole(unknown), strict=True))
-        ids = self.memo.__getitem__
-        return [self.heads[parts[0]] + b"".join(map(ids, parts[1:])) for parts in cuts]
+            cuts.append([])
+            for line in self.lines(text):
+                parts, new = self.cut(line)
+                cuts[-1].append(parts)
+                heads.add(parts[0])
+                missing |= new
+        self.fill(self, missing, " ", " ")
+        self.fill(self.heads, heads, "", "\n")
+        ids, first = self.memo.__getitem__, self.heads.memo.__getitem__
+        return [self.line_break.join([first(parts[0]) + b"".join(map(ids, parts[1:])) for parts in lines]) for lines in cuts]
+
+    def fill(self, store: Pieces, pieces: set[str], lead: str, between: str) -> None:
+        """Put the ids of pieces into a memo; a word before stops is learnt without them."""
+        unknown, stopped = store.unknown(pieces), {}
+        for p in unknown:
+            if (end := _STOPS.search(p)) and (word := p[:end.start()]).isalpha() and _STEADY.fullmatch(word):
+                stopped[p] = word, end[0]
+        plain = store.unknown(unknown.difference(stopped) | {word for word, _ in stopped.values()})
+        store.memo.update(store.learn(plain, lead, between))
+        ends = list({end for _, end in stopped.values()}.difference(self.stops))
+        if len(self.stops) > 1024:
+            self.stops.clear()
+            ends = list({end for _, end in stopped.values()})
+        self.stops.update(zip(ends, self.whole(ends), strict=True))
+        store.memo.update((p, store.memo[word] + self.stops[end]) for p, (word, end) in stopped.items())
 
 
 _SHARED: dict[tuple, object] = {}
