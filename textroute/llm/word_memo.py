@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 
 #: Pieces of a generation; a worker remembers two, at about 200 bytes a piece.
-PIECES = 1 << 18
+PIECES = 1 << 19
 #: Characters of text that are encoded at a time.
 CHARS = 1 << 19
 GROUP = 256
@@ -20,6 +21,7 @@ GROUP = 256
 _SPACE = "\\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
 _LONE_BLANK = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 _EDGES = frozenset(c for c in map(chr, [*range(0x3001), 0xFEFF]) if re.match(f"[{_SPACE}]", c))
+_STOP = frozenset(".,;:!?")
 _STOPS = re.compile("[.,;:!?]+\\Z")
 #: Letters and signs that neither composition nor lower case make longer or shorter in UTF-8.
 _STEADY = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
@@ -90,7 +92,8 @@ class Pieces:
         joined = [lead + between.join(g) + between * extra for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum([len(p.encode()) + len(lead) + extra for p in group])
+            sizes = map(len, between.join(group).encode().split(between.encode()))
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)) + len(lead) + extra)
             reach = np.concatenate([[0], np.cumsum(self.width[ids])])
             cuts = np.searchsorted(reach, ends)
             if reach[-1] != ends[-1] or (reach[cuts] != ends).any():  # a token over a cut: never seen, never trusted
@@ -127,36 +130,47 @@ class BlankCut(Pieces):
             return [text]
         return lines
 
-    def cut(self, line: str) -> tuple[list[str], set[str]]:
-        """The pieces of a line, and those after the first that are new."""
-        parts = line.split(" ")
-        new = set(parts[1:]).difference(self.memo)
-        if not parts[0] or parts[0][-1] in _EDGES or any(not p or p[0] in _EDGES or p[-1] in _EDGES for p in new):
-            parts = _LONE_BLANK.split(line)
-            new = set(parts[1:]).difference(self.memo)
-        return parts, new
-
     def encode(self, texts: list[str]) -> list[bytes]:
         self.turn()
         self.heads.turn()
-        cuts, heads, missing = [], set(), set()
-        for text in texts:
-            cuts.append([])
-            for line in self.lines(text):
-                parts, new = self.cut(line)
-                cuts[-1].append(parts)
-                heads.add(parts[0])
-                missing |= new
-        self.fill(self, missing, " ", " ")
+        cuts = [[line.split(" ") for line in self.lines(text)] for text in texts]
+        done, pieces = self.look_up(cuts)
+        heads = {parts[0] for lines in cuts for parts in lines}
+        # A known piece has no white space at its ends; a new one that has tells of lines that blanks alone can't cut.
+        if any(not p or p[0] in _EDGES or p[-1] in _EDGES for p in pieces) or any(not h or h[-1] in _EDGES for h in heads):
+            cuts = [[_LONE_BLANK.split(" ".join(parts)) for parts in lines] for lines in cuts]
+            done, pieces = self.look_up(cuts)
+            heads = {parts[0] for lines in cuts for parts in lines}
+        self.fill(self, pieces, " ", " ")
         self.fill(self.heads, heads, "", "\n")
-        ids, first = self.memo.__getitem__, self.heads.memo.__getitem__
-        return [self.line_break.join([first(parts[0]) + b"".join(map(ids, parts[1:])) for parts in lines]) for lines in cuts]
+        ids, first, rest = self.memo.__getitem__, self.heads.memo.__getitem__, iter(done)
+        out = []
+        for lines in cuts:
+            joined = []
+            for parts, found in zip(lines, rest):  # noqa: B905  one of `done` for each line
+                joined.append(first(parts[0]) + (b"".join(map(ids, islice(parts, 1, None))) if found is None else found))
+            out.append(self.line_break.join(joined))
+        return out
+
+    def look_up(self, cuts: list[list[list[str]]]) -> tuple[list[bytes | None], set[str]]:
+        """The ids of each line after its first piece, None where a piece isn't in this generation; and these pieces."""
+        ids, known = self.memo.__getitem__, self.memo.__contains__
+        done: list[bytes | None] = []
+        pieces: set[str] = set()
+        for lines in cuts:
+            for parts in lines:
+                try:
+                    done.append(b"".join(map(ids, islice(parts, 1, None))))
+                except KeyError:
+                    done.append(None)
+                    pieces.update(filterfalse(known, islice(parts, 1, None)))
+        return done, pieces
 
     def fill(self, store: Pieces, pieces: set[str], lead: str, between: str) -> None:
         """Put the ids of pieces into a memo; a word before stops is learnt without them."""
         unknown, stopped = store.unknown(pieces), {}
         for p in unknown:
-            if (end := _STOPS.search(p)) and (word := p[:end.start()]).isalpha() and _STEADY.fullmatch(word):
+            if p[-1:] in _STOP and (end := _STOPS.search(p)) and (word := p[:end.start()]).isalpha() and _STEADY.fullmatch(word):
                 stopped[p] = word, end[0]
         plain = store.unknown(unknown.difference(stopped) | {word for word, _ in stopped.values()})
         store.memo.update(store.learn(plain, lead, between))
