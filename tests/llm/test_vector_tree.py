@@ -43,7 +43,7 @@ def search(spark, rows, k=20, **more):
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(vt, "LEAF", 40)
-    monkeypatch.setattr(vt, "VECTORS", 16)  # leaves and queries in several blocks
+    monkeypatch.setattr(vt, "BLOCK_BYTES", 8 * 8 * 30)  # leaves and queries in several blocks
     monkeypatch.setattr(vt, "QUERIES_AT_ONCE", 3)
     rows = clustered(2400)
     want, got = brute(rows), search(spark, rows)
@@ -86,6 +86,10 @@ def test_tree_holds_all_rows():
     assert vt.build_tree(np.ones((50, 3)), 10).leaves == 1
 
 
+def test_bundles_are_bounded():
+    assert vt.bundles(np.array([3, 4, 5, 20, 1, 9]), 10).tolist() == [0, 0, 1, 2, 3, 3]
+
+
 def test_query_has_recall(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want, got = brute(rows), found(vt.op6(spark, sf_dir))

@@ -6,8 +6,9 @@ far, the one whose centre has the largest inner product with the query is opened
 opened is calibrated: the exact neighbours of some queries are found by a scan, and the visits are widened until the
 wanted recall is reached, up to all leaves.
 
-Equal vectors are indexed once, with as many of their ids as a result can hold. Pairs of a leaf and its queries are scored in
-blocks of bounded size on both sides.
+Equal vectors are indexed once, with as many of their ids as a result can hold. Neighbouring leaves are scored together, in
+blocks of bounded size on both sides; a query that opens a leaf also meets the others of its block, which can only add to what
+it finds, and gets one short list from the block.
 """
 from __future__ import annotations
 
@@ -31,8 +32,8 @@ BRANCH = 16
 #: Wanted vectors of a leaf, and leaves at most.
 LEAF = 256
 LEAVES = 4096
-#: Vectors and queries of a block.
-VECTORS, QUERIES_AT_ONCE = 4096, 1024
+#: Bytes of vectors in a block, and queries of a block.
+BLOCK_BYTES, QUERIES_AT_ONCE = 1 << 23, 256
 ROUNDS = 12
 
 
@@ -118,6 +119,16 @@ def best_bins(q: np.ndarray, tree: Tree, visits: int, sizes: np.ndarray, least:
     return found
 
 
+def bundles(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bundle of each leaf: leaves in a row with at most `most` vectors together. A larger leaf is one by itself."""
+    out, at, held = np.zeros(len(sizes), np.int32), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        out[leaf], held = at, held + n
+    return out
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
@@ -173,10 +184,11 @@ def _scan(queries: np.ndarray, k: int):
     return run
 
 
-def _route(tree: Tree, visits: int, sizes: np.ndarray, least: int):
+def _route(tree: Tree, visits: int, sizes: np.ndarray, least: int, bundle: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [best_bins(q, tree, visits, sizes, least) for q in _matrix(batch["v"])] if batch.num_rows else []
+            opened = (best_bins(q, tree, visits, sizes, least) for q in _matrix(batch["v"])) if batch.num_rows else []
+            bins = [np.unique(bundle[leaves]) for leaves in opened]
             yield pa.RecordBatch.from_arrays([batch["vkey"], batch["v"], pa.array(bins, pa.list_(pa.int32()))], names=["qkey", "qv", "bins"])
     return run
 
@@ -243,17 +255,23 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     probes = [r["v"] for r in queries.orderBy(hashed).limit(CALIBRATION).select("v").collect()]
     visits = calibrate(index, tree, sizes, np.frombuffer(b"".join(probes), "<f8").reshape(len(probes), -1), top, recall) if probes else 1
 
-    routed = materialize(queries.mapInArrow(_route(tree, visits, sizes, top), "qkey string, qv binary, bins array<int>"), "routed")
-    blocks = spark.createDataFrame([(i, max(1, -(-int(s) // VECTORS))) for i, s in enumerate(sizes)], "leaf int, vector_blocks int")
-    load = routed.select(F.explode("bins").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(materialize(blocks.join(load, "leaf"), "blocks"))  # a row for each leaf at most
-    # A vector goes to each block of queries of its leaf, a query to each block of vectors.
-    left = (index.join(blocks, "leaf").select("leaf", F.pmod(hashed, F.col("vector_blocks")).alias("vb"), "ids", "v", "query_blocks")
-            .select("leaf", "vb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "ids", "v"))
-    right = (routed.select("qkey", "qv", F.explode("bins").alias("leaf")).join(blocks, "leaf")
-             .select("leaf", F.pmod(F.xxhash64("qkey"), F.col("query_blocks")).alias("qb"), "qkey", "qv", "vector_blocks")
-             .select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vector_blocks").cast("long") - 1)).alias("vb"), F.col("qb").cast("int").alias("qb"), "qkey", "qv"))
-    key = ["leaf", "vb", "qb"]
+    dims = lengths["n"] if lengths else 1
+    most = max(1, BLOCK_BYTES // (8 * dims))
+    bundle = bundles(sizes, most)
+    held = np.bincount(bundle, sizes, int(bundle.max()) + 1).astype(int)
+    routed = materialize(queries.mapInArrow(_route(tree, visits, sizes, top, bundle), "qkey string, qv binary, bins array<int>"), "routed")
+    blocks = spark.createDataFrame([(i, int(b), max(1, -(-int(held[b]) // most))) for i, b in enumerate(bundle)],
+                                   "leaf int, bundle int, vector_blocks int")
+    load = routed.select(F.explode("bins").alias("bundle")).groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("query_blocks"))
+    blocks = materialize(blocks.join(load, "bundle"), "blocks")  # a row for each leaf at most
+    # A vector goes to each block of queries of its bundle, a query to each block of vectors.
+    left = (index.join(F.broadcast(blocks), "leaf").select("bundle", F.pmod(hashed, F.col("vector_blocks")).alias("vb"), "ids", "v", "query_blocks")
+            .select("bundle", "vb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "ids", "v"))
+    spread = F.broadcast(blocks.select("bundle", "vector_blocks", "query_blocks").distinct())
+    right = (routed.select("qkey", "qv", F.explode("bins").alias("bundle")).join(spread, "bundle")
+             .select("bundle", F.pmod(F.xxhash64("qkey"), F.col("query_blocks")).alias("qb"), "qkey", "qv", "vector_blocks")
+             .select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vector_blocks").cast("long") - 1)).alias("vb"), F.col("qb").cast("int").alias("qb"), "qkey", "qv"))
+    key = ["bundle", "vb", "qb"]
     left = left.withColumn("vb", F.col("vb").cast("long"))
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score(top), "qkey string, score double, ids array<long>")
     each = found.select("qkey", "score", F.explode("ids").alias("id"))
