@@ -66,6 +66,45 @@ def test_equals_every_window_against_every_item(spark):
         assert s == sum((a & b).values()) / sum((a | b).values())
 
 
+def test_window_need_not_be_aligned(spark):
+    """Bags ignore order: halves and sentences swapped, rotated items, and items of one repeated word."""
+    rng = random.Random(11)
+    docs, items, d = [], [], 0
+    for i in range(12):
+        n = rng.randint(30, 80)
+        item = [f"i{i}w{j}" for j in range(n)]
+        items.append((i, " ".join(item)))
+        pad = lambda: [f"p{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 100]))]
+        for cut in (n // 2, n // 3, 7):
+            docs.append((d := d + 1, " ".join(pad() + item[cut:] + item[:cut] + pad())))
+        a, b, c = item[:n // 3], item[n // 3:2 * n // 3], item[2 * n // 3:]
+        docs.append((d := d + 1, " ".join(pad() + c + a + b + pad())))
+        docs.append((d := d + 1, " ".join(pad() + b + a + item[:2] + c + pad())))
+    items.append((99, "la " * 20 + "di da"))
+    docs += [(900, "x di da " + "la " * 20), (901, "la " * 60), (902, "la " * 18 + "di da la la")]
+    got, want = found(spark, docs, items), brute(docs, items)
+    assert got == want and len(want) > 36
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_replaced_tails_at_any_threshold(spark, threshold):
+    """Few shingles break when the last words are replaced, but many bits of a fingerprint of the words."""
+    rng = random.Random(17)
+    docs, items, want = [], [], {}
+    for i in range(600):
+        n = rng.choice([22, 60, 100])
+        item = [f"i{i}w{j}" for j in range(n)]
+        tail = n // 10 if threshold == 0.8 else n // 4
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(["before"] * 3 + item[:n - tail] + [f"d{i}w{j}" for j in range(tail)])))
+        shared = n - tail - 4
+        want[i, i] = shared / (2 * (n - 4) - shared)
+    assert min(want.values()) >= threshold
+    out = dc.contaminated(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS),
+                          spark.createDataFrame([(*i, "z") for i in items], ITEMS), threshold=threshold)
+    assert {(r.doc_id, r.item_id): r.similarity for r in out.collect()} == want
+
+
 def test_odd_rows(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = [(1, f"a {item} b"), (1, f"a {item} b"), (1, f"x y {item}"), (None, item), (2, "a b")]

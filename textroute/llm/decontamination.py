@@ -1,15 +1,15 @@
 """Benchmark decontamination: passages of documents that repeat a benchmark item.
 
-Per item, documents are looked at through windows of the item's number of words.
+Per item, documents are looked at through all windows of the item's number of words.
 
-1. A window as similar as asked shares at least one shingle with the item. So the documents' shingle hashes are joined
-   with those of the benchmark; each match gives the window in which item and document are aligned. This loses nothing.
-2. Every window gets a 64-bit SimHash of its words. Fingerprints are cut into seven blocks; a pair within the
-   radius has a block that differs in at most one bit, so the items are indexed under each block's value and its
-   one-bit variants, and an equality join on item length, block and value guarantees all pairs within the radius.
-3. The exact similarity of the shingles, weighted by how often they occur, decides.
+1. The documents' shingle hashes are joined with those of the benchmark. The hits of one item in a document are all that
+   its windows' similarity depends on: other shingles count for the union only, whose size is known.
+2. Similarity `t` of bags of `a` and `b` shingles needs `t * (a + b) / (1 + t)` shared ones, so a window needs as many
+   hits. The starts of all windows that have them follow from the sorted hits. Nothing is lost here, in whatever order
+   the window repeats the item.
+3. The exact similarity of the shingles, weighted by how often they occur, decides in each of these windows.
 
-Everything is DataFrame code: hashes, fingerprints and similarities are column expressions.
+Everything is DataFrame code: hashes, starts and similarities are column expressions.
 """
 from __future__ import annotations
 
@@ -23,10 +23,6 @@ from textroute.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lowest bit and width of each block of the fingerprint.
-BLOCKS = [(0, 10), *[(10 + 9 * i, 9) for i in range(6)]]
-#: Differing bits at which a block with at most one differing bit is certain: 2 * 7 - 1.
-RADIUS = 2 * len(BLOCKS) - 1
 
 
 def words(text: Column) -> Column:
@@ -45,14 +41,6 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def simhash(hashes: Column) -> Column:
-    """The majority of each bit over the words, repeated words counting each time."""
-    def bit(b: int) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(2 * ones > F.size(hashes), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
-    return reduce(lambda a, c: a.bitwiseOR(c), [bit(b).cast("long") for b in range(64)])
-
-
 def shared_weight(a: Column, b: Column) -> Column:
     """Sum over shingles of the smaller of both counts, by one pass over both bags in sorted order."""
     tagged = F.array_sort(F.concat(F.transform(a, lambda h: F.struct(h.alias("h"), F.lit(0).alias("side"))),
@@ -67,30 +55,27 @@ def shared_weight(a: Column, b: Column) -> Column:
     return F.aggregate(tagged, zero, step, lambda s: s["sum"] + F.least(s["a"], s["b"]))
 
 
-def _block(fp: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def item_index(items: DataFrame) -> DataFrame:
-    """`(item_row, n, block, value, fp)`: each fingerprint under its blocks and their one-bit variants."""
-    keys = [F.struct(F.lit(i).alias("block"), _block(F.col("fp"), low, width).bitwiseXOR(F.lit(flip).cast("long")).alias("value"))
-            for i, (low, width) in enumerate(BLOCKS) for flip in [0, *[1 << b for b in range(width)]]]
-    return items.select("item_row", "n", "fp", F.explode(F.array(*keys)).alias("key")).select(
-        "item_row", "n", F.col("fp").alias("item_fp"), "key.block", "key.value")
+def window_starts(at: Column, need: Column, width: Column, last: Column) -> Column:
+    """`(i, start)` of each window of `width` shingles, starting at `last` at most, that has `need` of the sorted places `at`.
 
+    `i` is the window's first place, counted from 1. Each start has one first place, so none is made twice.
+    """
+    firsts = F.when(F.size(at) >= need, F.sequence(F.lit(1), F.size(at) - need + 1)).otherwise(F.array().cast("array<int>"))
 
-def _first_block(a: Column, b: Column) -> Column:
-    """The first block in which two fingerprints differ in at most one bit; a pair is made there only."""
-    near = [F.when(F.bit_count(_block(a.bitwiseXOR(b), low, width)) <= 1, F.lit(i)) for i, (low, width) in enumerate(BLOCKS)]
-    return F.coalesce(*near)
+    def of_first(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.when(i > 1, F.get(at, i - 2) + 1).otherwise(0), F.get(at, i + need - 2) - width + 1)
+        high = F.least(F.get(at, i - 1), last)
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda s: F.struct(i.alias("i"), s.alias("start")))
+                      ).otherwise(F.array().cast("array<struct<i:int,start:int>>"))
+    return F.flatten(F.transform(firsts, of_first))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """`(doc_id, item_id, similarity, start, text_hash)`: documents with a passage at least `threshold` similar to an item.
 
-    One row for each document (id and text) and item, with the best window in which two shingles are aligned: `start` is
-    its first word, counted from 0; the earliest counts among equals. Items shorter than five words are one shingle; items without a word, or null,
+    One row for each document (id and text) and item, with the best window of all: `start` is its first word,
+    counted from 0; the earliest counts among equals. Items shorter than five words are one shingle; items without a word, or null,
     match nothing, and so do wordless or null documents. A document with fewer words than the item is one window.
     Repeated rows of a document count once, and texts that share an id are judged apart. Null ids are ids like
     any other. Other columns are not read.
@@ -99,9 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_hashes(words(F.col(f"`{item_text}`"))).alias("w")).distinct()
     items = items.filter(F.size("w") > 0).select(
         F.xxhash64("item_id", "w").alias("item_row"), "item_id", F.size("w").alias("n"),
-        F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), simhash(F.col("w")).alias("fp"), "w")
-    items = materialize(items.withColumn("bag", shingles(F.col("w"), F.col("k"))), "items")
-    grams = materialize(items.select("n", "k", F.posexplode("bag").alias("at", "h")).distinct(), "item-shingles")
+        F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
+    items = materialize(items.select("item_row", "item_id", "n", "k", shingles(F.col("w"), F.col("k")).alias("bag")), "items")
+    grams = materialize(items.select("item_row", "n", "k", F.explode("bag").alias("h")).distinct(), "item-shingles")
     lengths = [r.k for r in grams.select("k").distinct().collect()] or [SHINGLE]  # 1 to 5
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
@@ -110,33 +95,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     runs = reduce(DataFrame.unionByName, [
         hashed.select("doc_id", "text_hash", F.size("w").alias("words"), F.lit(k).alias("k"),
                       F.posexplode(shingles(F.col("w"), k)).alias("pos", "h")) for k in sorted(lengths)])
-    # One window for each alignment of an item's length with the document.
-    hits = runs.join(grams, ["k", "h"]).select(
-        "doc_id", "text_hash", "n", F.greatest(F.lit(0), F.least(F.expr("pos - at"), F.expr("words - n"))).alias("start"))
-    # The windows of one document, at most its words times the item lengths, meet its text again: only such texts are cut.
-    windows = materialize(
-        hits.distinct().groupBy(F.col("doc_id").alias("window_id"), F.col("text_hash").alias("window_hash"))
-        .agg(F.collect_list(F.struct("n", "start")).alias("windows")), "windows")
-    texts = rows.join(windows, F.col("doc_id").eqNullSafe(F.col("window_id")) & (F.col("text_hash") == F.col("window_hash")))
-    hashed = texts.select("doc_id", "text_hash", "windows", word_hashes(words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    cut = hashed.select("doc_id", "text_hash", F.explode(F.transform("windows", lambda x: F.struct(
-        x["n"].alias("n"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["n"]).alias("w")))).alias("x"))
-    cut = cut.select("doc_id", "text_hash", "x.*")
-    cut = cut.select("doc_id", "text_hash", "n", "start", "w", simhash(F.col("w")).alias("fp"))
-    cut = cut.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), low, width).alias("value"))
-                                             for i, (low, width) in enumerate(BLOCKS)])).alias("key"))
-    index = item_index(items).alias("index")
-    near = (cut.alias("cut").join(index, (F.col("cut.n") == F.col("index.n")) & (F.col("key.block") == F.col("index.block"))
-                                  & (F.col("key.value") == F.col("index.value"))
-                                  & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-                                  & (_first_block(F.col("fp"), F.col("item_fp")) == F.col("index.block")))
-            .select("doc_id", "text_hash", "start", F.col("cut.w").alias("w"), "item_row"))
-    bags = items.select(F.col("item_row").alias("of_item"), "item_id", "k", "bag")
-    paired = near.join(bags, F.col("item_row") == F.col("of_item")).select(
-        "doc_id", "text_hash", "item_id", F.col("start").cast("long").alias("start"),
-        shingles(F.col("w"), F.least(F.col("k"), F.size("w"))).alias("window_bag"), "bag")
-    scored = paired.withColumn("shared", shared_weight(F.col("window_bag"), F.col("bag"))).withColumn(
-        "similarity", F.col("shared") / (F.size("window_bag") + F.size("bag") - F.col("shared")))
+    # The hits of an item in a document, at most the document's words; repeated rows of a document add none.
+    hits = runs.join(grams, ["k", "h"]).groupBy("doc_id", "text_hash", "words", "item_row", "n", "k").agg(
+        F.collect_set(F.struct("pos", "h")).alias("hits"))
+    a, b = F.col("n") - F.col("k") + 1, F.least("n", "words") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * (a + b) / F.lit(1 + threshold) - F.lit(1e-9)).cast("int"))
+    enough = (hits.select("*", a.alias("item_size"), b.alias("width"), need.alias("need")).filter(F.size("hits") >= F.col("need"))
+              .withColumn("hits", F.array_sort("hits")))
+    starts = enough.select("doc_id", "text_hash", "item_row", "item_size", "width", "hits", window_starts(
+        F.col("hits.pos"), F.col("need"), F.col("width"), F.greatest(F.lit(0), F.col("words") - F.col("n"))).alias("starts"))
+    bags = items.select(F.col("item_row").alias("of_item"), "item_id", "bag")
+    found = starts.filter(F.size("starts") > 0).join(bags, F.col("item_row") == F.col("of_item"))
+    windows = found.select("doc_id", "text_hash", "item_id", "item_size", "width", "hits", "bag", F.explode("starts").alias("x"))
+    inside = F.filter(F.slice("hits", F.col("x.i"), F.col("width")), lambda hit: hit["pos"] < F.col("x.start") + F.col("width"))
+    scored = windows.select("doc_id", "text_hash", "item_id", F.col("x.start").cast("long").alias("start"), "item_size", "width",
+                            shared_weight(F.transform(inside, lambda hit: hit["h"]), F.col("bag")).alias("shared")).withColumn(
+        "similarity", F.col("shared") / (F.col("width") + F.col("item_size") - F.col("shared")))
     best = (scored.filter(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), "text_hash")
