@@ -1,4 +1,7 @@
-"""Known licences: full texts, and the notices by which works point to a licence.
+"""Known licences: full texts of short licences, and the notices by which works point to a licence.
+
+Apache-2.0, MPL-2.0, GPL, LGPL, AGPL, EPL, Unlicense and the Creative Commons licences are known by notice only: a
+document that is the whole text of one of them gets no licence unless the user adds that text.
 
 Fixed values: public licence texts. A user adds others as rows of the same table.
 """
