@@ -10,6 +10,7 @@ from textroute.llm import (  # noqa: F401
     token_files,
     toxicity,
     url_filter,
+    vector_codes,
     vector_tree,
 )
 from textroute.llm.registry import ORACLES, QUERIES, query
