@@ -9,6 +9,7 @@ from textroute.llm import (  # noqa: F401
     near_duplicates,
     token_files,
     toxicity,
+    turn_repair,
     url_filter,
     vector_codes,
     vector_tree,
