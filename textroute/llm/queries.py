@@ -7,6 +7,7 @@ from textroute.llm import (  # noqa: F401
     language_id,
     license_scan,
     near_duplicates,
+    suffix_tree,
     token_files,
     toxicity,
     turn_repair,
