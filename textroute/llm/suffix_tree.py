@@ -2,8 +2,8 @@
 
 A context is a run of up to `DEPTH` words. Its node stays in the tree if the words that follow it diverge from those that follow
 its suffix (the context without its first word): the log-likelihood ratio of its training words must reach `ln(N + V + 1)`, a
-threshold that grows as the description of one more node does. Since no single occurrence can reach it, contexts seen once
-needn't be looked at. The words of a node are smoothed by its suffix (Witten and Bell): `(c(s, w) + t(s) p(w | suffix)) / (c(s) +
+threshold that grows as the description of one more node does. A context seen once can't reach it, and neither can one that is
+rare beside its suffix, so such contexts needn't be looked at. The words of a node are smoothed by its suffix (Witten and Bell): `(c(s, w) + t(s) p(w | suffix)) / (c(s) +
 t(s))` with `t(s)` distinct words after `s`; the root adds one. A word is scored in the longest of its contexts that stays. Nodes
 between a kept one and the root belong to the tree, so the probabilities of a chain build on each other.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ from textroute.session import materialize
 
 DEPTH = 2
 #: Tokens of a block, and occurrences beyond which a context is dealt to several buckets.
-BLOCK = 1 << 21
+BLOCK = 3 << 19
 #: log2 of the most contexts that may be dealt to several buckets.
 HOT_BITS = 20
 #: Words within a context are told apart by that many bits of their hash.
@@ -117,9 +117,9 @@ def blocks_of(docs: DataFrame, block: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """What all blocks know: buckets, size of a block, N and V, hot contexts of each depth with their answers."""
+    """What all blocks know: log2 of the number of buckets, size of a block, N and V, hot contexts of each depth with their answers."""
 
-    buckets: int
+    bits: int
     block: int
     tokens: int = 0
     words: int = 0
@@ -151,17 +151,19 @@ class Ask:
 
 
 def ask(context: np.ndarray, key: np.ndarray, live: np.ndarray, keyed: np.ndarray, train: np.ndarray, log_p: np.ndarray,
-        split: np.ndarray, buckets: int) -> Ask:
-    """`live`: positions whose context matters; `keyed`: those of them whose pair must be counted; `split`: buckets of each position's context."""
+        split: np.ndarray, bits: int) -> Ask:
+    """`live`: positions whose context matters; `keyed`: those of them whose pair must be counted; `split`: pieces of each position's context.
+
+    One sort by the first bits of both hashes brings equal pairs together. Contexts whose first bits agree may alternate, and
+    then come more than once, which the sums and answers of a bucket allow for.
+    """
     at = np.flatnonzero(live)
     c, k, pieces = context[at], key[at], split[at]
-    with np.errstate(over="ignore"):
-        bucket = ((c + np.where(pieces > 1, (k >> np.uint64(7)) % pieces, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
-    # Hashes of (bucket, context) and of the word; equal neighbours after sorting are equal pairs.
-    order = np.lexsort((k, c, bucket))
-    bucket, c, k, pieces, at = bucket[order], c[order], k[order], pieces[order], at[order]
+    home = np.where(pieces > 1, mixed(c, k % pieces), c)
+    order = np.argsort((home >> np.uint64(28) << np.uint64(28)) | (k >> np.uint64(KEY_BITS - 28)))
+    c, k, home, at = c[order], k[order], home[order], at[order]
     new_context = np.ones(len(at), bool)
-    new_context[1:] = (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
+    new_context[1:] = (c[1:] != c[:-1]) | (home[1:] != home[:-1])
     which = np.cumsum(new_context) - 1
     count = int(which[-1]) + 1 if len(which) else 0
     counted, own = keyed[at], train[at]
@@ -173,11 +175,15 @@ def ask(context: np.ndarray, key: np.ndarray, live: np.ndarray, keyed: np.ndarra
     place = np.where(has_key, np.cumsum(has_key) - 1, -1)
     firsts = np.flatnonzero(new_key)[has_key]
     mine = np.where(counted, place[group], -1)
-    of_position, context_of = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+    of_position, context_of = np.full(len(context), -1, np.int32), np.full(len(context), -1, np.int32)
     of_position[at], context_of[at] = mine, which
-    return Ask(bucket[new_context], c[new_context], np.bincount(which[firsts], minlength=count), k[firsts],
+    return Ask(bucket_of(home[new_context], bits), c[new_context], np.bincount(which[firsts], minlength=count), k[firsts],
                np.bincount(mine[counted & own], minlength=len(firsts)), np.bincount(which[own & ~counted], minlength=count),
-               np.bincount(which[own], log_p[at][own], minlength=count), pieces[new_context] > 1, of_position, context_of)
+               np.bincount(which[own], log_p[at][own], minlength=count), pieces[order][new_context] > 1, of_position, context_of)
+
+
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits) if bits else np.zeros_like(hashes)).astype(np.int64)
 
 
 class Block:
@@ -187,30 +193,42 @@ class Block:
         self.plan, self.ids = plan, row["doc_ids"]
         self.lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.tokens = unpack(row["words"], np.uint64)[unpack(row["ranks"], np.uint32)]
+        self.words, self.ranks = unpack(row["words"], np.uint64), unpack(row["ranks"], np.uint32)
+        self.tokens = self.words[self.ranks]
         self.train = np.repeat(unpack(row["train"], np.uint8).astype(bool), self.lengths)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
 
     def ask(self, depth: int) -> Ask:
         """The request of a depth, once the answers of all depths before are in."""
-        n = len(self.tokens)
-        everywhere, zero = np.ones(n, bool), np.zeros(n)
-        if depth == 0:  # words: the context is the word itself
-            return ask(self.tokens, np.zeros(n, np.uint64), everywhere, everywhere, self.train, zero, np.ones(n, np.uint64), self.plan.buckets)
+        if depth == 0:
+            return self.ask_words()
         if depth == 1:
             context, self.of_context = np.roll(self.tokens, 1), np.roll(self.count, 1)
             self.log_p = np.log(self.p)
+            rarest = np.log((self.plan.tokens + self.plan.words + 1) / 2)  # a known word has p(w) of 2 in N + V + 1 at least
         else:
             pair = mixed(self.context, self.tokens)
             with np.errstate(divide="ignore", invalid="ignore"):
                 self.log_p = np.where(self.count > 0, np.log(self.count / self.of_context), 0.0)
+            rarest = np.log(np.maximum(self.of_context, 1))  # and one seen after the suffix 1 in the suffix's count
             context, self.of_context = np.roll(pair, 1), np.where(np.roll(self.known, 1), np.roll(self.count, 1), 0)
         self.context = context
-        self.live = (self.place >= depth) & (self.of_context > 1)
-        self.once = self.train & (self.count == 1)  # the pair's suffix occurs once: so does the pair
+        # A context whose count can't make up the threshold, however it diverges, can't stay, nor can any longer one that ends in it.
+        self.live = self.known & (self.place >= depth) & (self.of_context > 1) & (self.of_context * rarest >= self.plan.threshold)
+        self.once = self.train & (self.count == 1)  # the suffix has the word once: so does the context
         split = np.where(self.of_context > self.plan.hot_count, -(-self.of_context // self.plan.block), 1).astype(np.uint64)
         key = mixed(self.tokens, np.uint64(depth)) >> np.uint64(64 - KEY_BITS)
-        return ask(context, key, self.live, self.live & ~self.once, self.train, self.log_p, split, self.plan.buckets)
+        return ask(context, key, self.live, self.live & ~self.once, self.train, self.log_p, split, self.plan.bits)
+
+    def ask_words(self) -> Ask:
+        """The first request: every word is a context of its own, with one key."""
+        order = np.argsort(self.words)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        n = np.bincount(self.ranks[self.train], minlength=len(order))[order]
+        zero, of_position = np.zeros(len(order), np.int64), place[self.ranks]
+        return Ask(bucket_of(self.words[order], self.plan.bits), self.words[order], zero + 1, zero.astype(np.uint64), n, zero, zero.astype(float),
+                   zero > 0, of_position, of_position)
 
     def read(self, depth: int, asked: Ask, counts: np.ndarray, after: np.ndarray) -> None:
         """Takes in the answers: each pair's count and, of each context, twice the number of words after it, plus one if it stays."""
@@ -325,9 +343,10 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    blocks = materialize(blocks_of(rows, block), "token-blocks")
-    lanes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan, replies = Plan(max(lanes, blocks.count()), block), None
+    # Kept where they are dealt to, so that all steps join answers to them without moving them again; a lost part is read anew.
+    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    blocks = blocks_of(rows, block).repartition(lanes, "block").persist(StorageLevel.DISK_ONLY)
+    plan, replies = Plan((max(lanes, blocks.count()) - 1).bit_length(), block), None
     for d in range(depth + 1):
         if replies is None:
             asked = blocks.mapInArrow(_first_requests(plan), REQUEST)
@@ -342,7 +361,9 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
             plan = replace(plan, hot=(*plan.hot, hot_sums(found, limit)))
         mine = found.filter(F.col("block") != SUMS).select("block", "bucket", "counts", "after", F.lit(d).alias("depth"))
         replies = mine if replies is None else replies.unionByName(mine)
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(plan, depth, schema.names), schema), plan.tokens
+    scored = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(plan, depth, schema.names), schema), "scores")
+    blocks.unpersist()
+    return scored, plan.tokens
 
 
 def _first_requests(plan: Plan):
