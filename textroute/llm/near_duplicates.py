@@ -9,8 +9,6 @@ A signature that many distinct fingerprints share (a large family of near copies
 itself. There, links go through keys that delete further bits: two fingerprints of a family link
 exactly if they share such a key, and each key's fingerprints are tied to its smallest one. The work
 is linear in the family and loses no connection.
-
-This contract binds the query only. Stages that drop near copies use `near_copies.keep_first`.
 """
 from __future__ import annotations
 
@@ -22,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textroute.llm.components import connected_components
-from textroute.llm.near_copies import keep_first  # noqa: F401
 from textroute.llm.registry import query, table
 from textroute.session import materialize
 
@@ -140,6 +137,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", f
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", family: int = FAMILY) -> DataFrame:
+    """The rows of `df`, one document of each component: the one with the smallest id, or a null id if there is no other.
+
+    Of several texts under that id, the one with the smallest fingerprint stays, and of repeated rows one. Wordless and null
+    texts are copies of each other. The columns of `df` are kept as they are.
+    """
+    docs = materialize(df.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint_udf(F.col(f"`{text}`")).alias("fp"),
+                                 F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "simhash-rows")
+    kept = (components(docs.select("doc_id", "fp"), family).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+            .groupBy("root", F.col("component_id").alias("kept_id")).agg(F.min("fp").alias("kept_fp")))
+    found = docs.join(kept, (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return found.dropDuplicates(["fp", "doc_id"]).select("row.*")
+
+
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its SimHash and near-duplicate component."""
