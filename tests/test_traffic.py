@@ -113,7 +113,7 @@ def test_budget_stream_carries_spend_between_batches(spark, tmp_path):
     rows = sorted(budget_rows(7), key=lambda r: (r[1], r[0]))
     folder = str(tmp_path / "log")
     third = len(rows) // 3
-    out, ledger, mark = (work_path(spark, n) for n in ("admitted", "ledger", "mark"))
+    out, mark = (work_path(spark, n) for n in ("admitted", "mark"))
     # Three arrivals in time order; cut between time stamps, so that no tie is split.
     cuts = [0]
     for c in (third, 2 * third):
@@ -123,11 +123,11 @@ def test_budget_stream_carries_spend_between_batches(spark, tmp_path):
     for a, b in zip(cuts, [*cuts[1:], len(rows)]):
         part = budget_log(spark, rows[a:b])
         files.log_rows(part, "event_id").coalesce(1).write.mode("append").json(folder)
-        jobs.budget_stream(jobs.stream_log(spark, folder, "event_id long"), out, ledger, mark, 0.05)
+        jobs.budget_stream(jobs.stream_log(spark, folder, "event_id long"), out, mark, 0.05)
     got = {r["event_id"]: r["admitted"] for r in spark.read.parquet(out).collect()}
     assert got == sequential(rows, 0.05)
     # Nothing new arrives: nothing changes.
-    jobs.budget_stream(jobs.stream_log(spark, folder, "event_id long"), out, ledger, mark, 0.05)
+    jobs.budget_stream(jobs.stream_log(spark, folder, "event_id long"), out, mark, 0.05)
     assert spark.read.parquet(out).count() == len(rows)
 
 

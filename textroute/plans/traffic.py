@@ -205,8 +205,8 @@ def _(spark, sf_dir):
 @query("stream_budget", _ADMIT_SQL)
 def _(spark, sf_dir):
     source = _log_files(spark, sf_dir)
-    out, ledger, mark = (work_path(spark, n) for n in ("admitted", "ledger", "budget-checkpoint"))
+    out, mark = (work_path(spark, n) for n in ("admitted", "budget-checkpoint"))
     # One micro-batch, so that arrival order is time order; the tests feed several.
     log = jobs.stream_log(spark, source, "event_id long", max_files=1_000_000)
-    jobs.budget_stream(log, out, ledger, mark, CAP)
+    jobs.budget_stream(log, out, mark, CAP)
     return spark.read.parquet(out).select("event_id", "day", "admitted")

@@ -6,9 +6,9 @@ and overwrite it, so a batch that is repeated after a failure leaves the same re
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +20,7 @@ from ..operators.linear import LinearModel, predict_proba, route
 from ..schemas import LOG_SCHEMA, RAW_SCHEMA
 from ..session import materialize
 from ..sources.files import from_epoch, log_rows, utc_clock, utc_instant
+from . import budget
 
 
 def stream_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,10 +35,29 @@ def stream_log(spark: SparkSession, folder: str, extra: str | None = None, max_f
     return rows.withColumn("ts", from_epoch(F.col("ts")))
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> str:
-    """Process what has arrived into a Parquet folder."""
-    (stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Within the block, streams start with their state in RocksDB: on local disk, with what changed in the checkpoint folder.
+
+    The state's size is then no matter of memory. A stream keeps the store it was first started with.
+    """
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> str:
+    """Process what has arrived into a folder of files, each row once: the sink's log names the files that count."""
+    with state_on_disk(stream.sparkSession):
+        (stream.writeStream.outputMode(mode).format(fmt).option("path", out)
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
     return out
 
 
@@ -46,11 +66,12 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
            .trigger(availableNow=True).start().awaitTermination())
 
 
-def ingest(raw: DataFrame, lateness: str | None = "3650 days") -> DataFrame:
-    """Clean rows, one per id.
+def ingest(raw: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Clean rows, one per id: the first that arrives.
 
-    An id is forgotten once its received date is `lateness` behind the newest, which bounds the state; rows that
-    arrive later than that are dropped. With None every id ever seen stays in the state store.
+    Every id ever seen stays in the state store, which `run_available` keeps on disk, so no row is lost in whatever order
+    the files come. With `lateness`, an id is forgotten once its received date is that far behind the newest, and rows
+    that arrive later than that are dropped: for a feed that never looks back.
     """
     rows = clean_rows(raw)
     if lateness is None:
@@ -132,32 +153,11 @@ def window_report(stats: DataFrame, counts: DataFrame, train_dist: DataFrame,
                  .withColumn("drift_status", monitoring.drift_status(F.col("psi"))))
 
 
-def _ledger_before(spark: SparkSession, ledger: str, batch_id: int) -> DataFrame | None:
-    try:
-        rows = spark.read.parquet(ledger)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
-            raise
-        return None
-    return rows.filter(F.col("batch_id") < batch_id).groupBy("day").agg(F.sum("spend_usd").alias("spend_usd"))
-
-
-def budget_stream(log: DataFrame, out: str, ledger: str, checkpoint: str,
-                  cap: float = monitoring.DAILY_CAP_USD, tie: str = "event_id") -> str:
+def budget_stream(log: DataFrame, out: str, checkpoint: str, cap: float = monitoring.DAILY_CAP_USD, tie: str = "event_id",
+                  lateness: str = "7 days") -> str:
     """Admit or reject draft requests as they arrive, in time order within a micro-batch.
 
-    The state is a small ledger of spend per day and batch, so a day with most of the traffic is
-    still summed by all tasks, and a repeated batch sees the same ledger as the first attempt.
+    What a day has spent is keyed state, so a run goes on where the last one stopped, also within a day; the sink holds each
+    request once.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spent = _ledger_before(spark, ledger, batch_id)
-        folder = f"{out}/batch_id={batch_id}"
-        monitoring.budget_admission(batch, cap, tie, spent).write.mode("overwrite").parquet(folder)
-        done = spark.read.parquet(folder)
-        spend = done.filter("admitted").groupBy("day").agg(
-            F.sum(F.col("draft_cost_usd").cast(monitoring.MONEY)).alias("spend_usd"))
-        spend.write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-
-    run_batches(log, step, checkpoint)
-    return out
+    return run_available(budget.admissions(log, cap, tie, lateness), out, checkpoint)
