@@ -184,22 +184,34 @@ def test_windows_equal_the_batch_and_drop_late_rows(spark, tmp_path):
         assert r["window_end"] - r["window_start"] == dt.timedelta(hours=1)
 
 
-def test_route_stream_equals_the_batch(spark):
+@pytest.mark.parametrize("blocks", [("word",), ("word", "char")])
+def test_route_stream_equals_the_batch(spark, blocks):
     texts = {"Card": "the card company charged a late fee", "Loan": "the loan servicer lost my forms"}
     toy = materialize(spark.createDataFrame([(i * 2 + j, p, f"{t} number {i} call 410-555-1234", dt.datetime(2024, 1, 1))
                                              for i in range(20) for j, (p, t) in enumerate(texts.items())],
                                             "complaint_id long, product string, narrative string, ts timestamp_ntz"))
-    model = linear.fit(toy, max_iter=30, blocks=("word",), max_features={"word": 1000})
+    model = linear.fit(toy, max_iter=30, blocks=blocks, max_features={b: 1000 for b in blocks})
+    records = toy.select("complaint_id", "narrative", "ts").unionByName(spark.createDataFrame(
+        [(90, None, dt.datetime(2024, 1, 2)), (91, "zzz", dt.datetime(2024, 1, 2)), (91, "", dt.datetime(2024, 1, 2))],
+        "complaint_id long, narrative string, ts timestamp_ntz"))
+    # Row by row as by the joins.
+    by_rows = records.select("complaint_id", linear.row_logits(model)(F.col("narrative")).alias("z")).filter("complaint_id < 90")
+    by_joins = {r.complaint_id: r.z for r in linear.logits(toy, model).collect()}
+    assert all(r.z == pytest.approx(by_joins[r.complaint_id]) for r in by_rows.collect()) and len(by_joins) == 40
     source, out, mark = (work_path(spark, n) for n in ("records", "routed", "mark"))
-    records = toy.select("complaint_id", "narrative", "ts")
-    records.write.parquet(source)
-    jobs.route_stream(spark.readStream.schema(records.schema).parquet(source), model, out, mark)
-    got = files.scan_log(spark, out)
-    want = jobs.route_rows(records, model)
-    cols = ["product", "needs_review", "narrative_len", "endpoint"]
-    assert got.count() == 40 and got.select(cols).exceptAll(want.select(cols)).count() == 0
-    # Two requests with one id are scored apart.
-    twice = records.filter("complaint_id < 2").withColumn("complaint_id", F.lit(7).cast("long"))
-    routed = jobs.route_rows(twice, model).collect()
-    alone = {r["product"] for i in (0, 1) for r in jobs.route_rows(records.filter(f"complaint_id = {i}"), model).collect()}
-    assert [r["complaint_id"] for r in routed] == [7, 7] and {r["product"] for r in routed} == alone == {"Card", "Loan"}
+    records.filter("complaint_id < 10").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(records.schema).parquet(source)
+    plan = jobs.route_rows(records, model, "complaint_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # one plan without state
+    jobs.route_stream(stream, model, out, mark, "complaint_id")
+    records.filter("complaint_id >= 10").coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):  # the second run finds nothing new and adds nothing
+        jobs.route_stream(stream, model, out, mark, "complaint_id")
+    got = files.scan_log(spark, out, "complaint_id long")
+    want = jobs.route_rows(records, model, "complaint_id")
+    cols = ["complaint_id", "product", "confidence", "needs_review", "narrative_len", "endpoint"]
+    assert got.count() == 43 and got.select(cols).exceptAll(want.select(cols)).count() == 0
+    assert want.filter("narrative_len < 100 or narrative_len is null").count() == 43
+    assert {r["product"] for r in got.filter("complaint_id in (0, 1)").collect()} == {"Card", "Loan"}
+    unknown = got.filter("complaint_id >= 90").select("product", "confidence").distinct().collect()
+    assert len(unknown) == 1  # by the intercepts alone

@@ -5,9 +5,10 @@ them and normalising each record all happen without another exchange.
 """
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import with_bigrams, word_tokens, words
@@ -18,6 +19,22 @@ MIN_DF = {WORD_BLOCK: 3, CHAR_BLOCK: 5}
 MAX_FEATURES = {WORD_BLOCK: 200_000, CHAR_BLOCK: 200_000}
 
 
+def block_items(text: Column) -> dict[str, Column]:
+    """What the terms of each block are made of: words with pairs of neighbours, and words padded with spaces."""
+    return {WORD_BLOCK: with_bigrams(word_tokens(text)),
+            CHAR_BLOCK: F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))}
+
+
+def grams_of_words(counts: Counter) -> Counter:
+    """Counts of 3- to 5-grams, given those of padded words."""
+    grams = Counter()
+    for word, n in counts.items():
+        for size in range(3, min(5, len(word)) + 1):
+            for i in range(len(word) - size + 1):
+                grams[word[i:i + size]] += n
+    return grams
+
+
 def term_counts(df: DataFrame, id_col: str = "complaint_id", text: str = "narrative",
                 blocks: tuple[str, ...] = (WORD_BLOCK, CHAR_BLOCK), keep_empty: bool = False) -> DataFrame:
     """`(id, block, term, tf)` for the chosen blocks, counted in one pass over the partitioned texts.

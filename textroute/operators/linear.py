@@ -1,9 +1,13 @@
 """The linear classifier: fitted by Spark ML, stored and applied as tables."""
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -151,6 +155,39 @@ def predict_proba(df: DataFrame, model: LinearModel, id_col: str = "complaint_id
     return scored.select(id_col, softmax("z").alias("p"))
 
 
+def row_logits(model: LinearModel) -> Callable[[Column], Column]:
+    """A function from a text column to its logits, one array per row and no exchange: for streams and single requests.
+
+    Texts are cut into terms by the same expressions as in `logits`. The model travels to the tasks whole, as the vocabulary
+    bounds it; a large batch is better served by `logits`, which ships texts instead.
+    """
+    tables = {}
+    for block in model.blocks:
+        rows = model.terms.filter(F.col("block") == block).select("term", "idf", "weights").toPandas()  # `max_features` rows at most
+        weights = np.array(rows["weights"].tolist(), np.float64).reshape(len(rows), len(model.classes))
+        tables[block] = ({t: i for i, t in enumerate(rows["term"])}, rows["idf"].to_numpy(np.float64), weights)
+    start = np.array(model.intercepts, np.float64)
+
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            out = []
+            for row in zip(*(columns if isinstance(columns, tuple) else (columns,))):  # a single block comes as it is
+                z = start.copy()
+                for items, (block, (index, idf, weights)) in zip(row, tables.items()):
+                    counts = Counter(() if items is None else items)
+                    if block == feat.CHAR_BLOCK:
+                        counts = feat.grams_of_words(counts)
+                    known = [(index[t], n) for t, n in counts.items() if t in index]
+                    if known:
+                        at, tf = (np.array(x) for x in zip(*known))
+                        weight = (1 + np.log(tf)) * idf[at]
+                        z += weight @ weights[at] / np.sqrt(weight @ weight)
+                out.append(z)
+            yield pd.Series(out)
+    return lambda text: scores(*[feat.block_items(text)[b] for b in model.blocks])
+
+
 def softmax(z: str) -> Column:
     """Class probabilities from an array of logits, shifted by the largest."""
     powers = F.transform(z, lambda x: F.exp(x - F.array_max(z)))

@@ -9,9 +9,10 @@ from ..schemas import LOG_SCHEMA
 from ..session import spread, work_path
 from ..sources import files
 from ..streaming import jobs
-from .model import _complaints, fixed_model
+from .model import WORD_MODEL, _complaints, fixed_model
 from .prep import clean_sql, raw_export
 from .registry import query, rounded
+from .replies import _LAST, _redaction_sql, folded
 from .views import view, with_ctes
 
 CAP = 0.5
@@ -160,17 +161,38 @@ def _(spark, sf_dir):
     return spark.read.parquet(out).groupBy("complaint_id").agg(F.count("*").alias("n"))
 
 
-@query("stream_route")
+# Requests are folded on both sides, since the redaction rules meet them; the model is that of the whole texts.
+_REDACTED = _redaction_sql("complaints", "complaint_id", "narrative")
+_ROUTED = WORD_MODEL | _REDACTED | {
+    "r_terms": rf"""select complaint_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) as term
+        from (select complaint_id, regexp_extract_all(lower(txt), '[\p{{L}}\p{{N}}_]{{2,}}') as t from {_LAST})""",
+    "r_weighted": """select complaint_id, term, (1 + ln(count(*)::double)) * any_value(idf) as weight
+        from r_terms join word_idf using (term) group by complaint_id, term""",
+    "r_values": "select complaint_id, term, weight / sqrt(sum(weight * weight) over (partition by complaint_id)) as value from r_weighted",
+    "r_logits": f"""select c.complaint_id, k.class, any_value(k.b) + coalesce(sum(v.value * f.w), 0) as z
+        from complaints c cross join classes k left join r_values v on v.complaint_id = c.complaint_id
+        left join coef f on f.class = k.class and f.term = v.term group by c.complaint_id, k.class""",
+    "r_proba": """select complaint_id, class, exp(z - m) / sum(exp(z - m)) over (partition by complaint_id) as p
+        from (select *, max(z) over (partition by complaint_id) as m from r_logits)""",
+    "r_best": """select complaint_id, max(class) filter (r = 1) as product, max(p) filter (r = 1) as p
+        from (select *, row_number() over (partition by complaint_id order by round(p, 9) desc, class) as r from r_proba) group by complaint_id""",
+}
+
+
+@query("stream_route", with_ctes(["complaints"], f"""
+    select complaint_id, product, round_even(p, 4) as confidence, p < 0.6 as needs_review, length(txt)::bigint as narrative_len,
+           {_ts('date_received::timestamp')} as ts
+    from r_best join {_LAST} using (complaint_id) join (select complaint_id, date_received from complaints) using (complaint_id)""", _ROUTED))
 def _(spark, sf_dir):
-    """Log rows of all records, scored as they arrive with the fixed model."""
+    """The log lines of all records, redacted and scored as they arrive with the fixed model."""
     df = _complaints(spark, sf_dir)
     model = fixed_model(df)
     source, out, mark = (work_path(spark, n) for n in ("records", "routed", "route-checkpoint"))
-    timed = df.select("complaint_id", "narrative", F.col("date_received").cast("timestamp_ntz").alias("ts"))
+    timed = df.select("complaint_id", folded(F.col("narrative")).alias("narrative"), F.col("date_received").cast("timestamp_ntz").alias("ts"))
     timed.write.parquet(source)
-    jobs.route_stream(spark.readStream.schema(timed.schema).parquet(source), model, out, mark)
-    rows = files.scan_log(spark, out)
-    return rows.groupBy("product", "needs_review").agg(F.count("*").alias("n"), F.sum("narrative_len").alias("chars"))
+    jobs.route_stream(spark.readStream.schema(timed.schema).parquet(source), model, out, mark, "complaint_id")
+    rows = files.scan_log(spark, out, "complaint_id long")
+    return _shown(rows, "ts").select("complaint_id", "product", "confidence", "needs_review", "narrative_len", "ts")
 
 
 _WINDOWS = {

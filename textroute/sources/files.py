@@ -51,16 +51,20 @@ def utc_clock(instant: Column) -> Column:
     return from_epoch(F.unix_micros(instant) / 1e6)
 
 
-def scan_log(spark: SparkSession, path: str) -> DataFrame:
-    """The prediction log, one JSON object per line; an empty table when there is none yet."""
+def scan_log(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
+    """The prediction log, one JSON object per line; an empty table when there is none yet.
+
+    `extra` declares further fields the writer adds.
+    """
+    schema = T.StructType([*LOG_SCHEMA.fields, *(T.StructType.fromDDL(extra).fields if extra else [])])
     try:
-        rows = spark.read.schema(LOG_SCHEMA).json(path)
+        rows = spark.read.schema(schema).json(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
             raise
-        rows = spark.createDataFrame([], LOG_SCHEMA)
+        rows = spark.createDataFrame([], schema)
     return rows.select([from_epoch(F.col("ts")).alias("ts") if c == "ts" else F.col(c)
-                        for c in LOG_SCHEMA.fieldNames()])
+                        for c in schema.fieldNames()])
 
 
 def log_rows(df: DataFrame, *extra: str) -> DataFrame:

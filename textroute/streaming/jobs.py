@@ -6,7 +6,7 @@ and overwrite it, so a batch that is repeated after a failure leaves the same re
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +16,8 @@ from pyspark.sql import types as T
 from ..operators import monitoring
 from ..operators.cleaning import clean_rows
 from ..operators.guardrails import redacted
-from ..operators.linear import LinearModel, predict_proba, route
+from ..operators.linear import LinearModel, route, row_logits, softmax
 from ..schemas import LOG_SCHEMA, RAW_SCHEMA
-from ..session import materialize
 from ..sources.files import from_epoch, log_rows, utc_clock, utc_instant
 from . import budget
 
@@ -61,11 +60,6 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return out
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-           .trigger(availableNow=True).start().awaitTermination())
-
-
 def ingest(raw: DataFrame, lateness: str | None = None) -> DataFrame:
     """Clean rows, one per id: the first that arrives.
 
@@ -80,25 +74,22 @@ def ingest(raw: DataFrame, lateness: str | None = None) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["complaint_id"]).drop("_ts")
 
 
-def route_rows(records: DataFrame, model: LinearModel) -> DataFrame:
-    """Log rows for a batch of `(complaint_id, ts, narrative)`: redacted, scored and routed.
+def route_rows(records: DataFrame, model: LinearModel, *extra: str) -> DataFrame:
+    """Log rows of `(ts, narrative)`: each request is redacted, scored and routed within its row, in a batch or a stream.
 
-    Each request is scored alone, so rows are told apart by a stored key; an id may come more than once.
+    `extra` names further columns of the records to keep.
     """
-    clean = materialize(records.select("complaint_id", "ts", redacted(F.col("narrative")).alias("narrative"),
-                                       F.monotonically_increasing_id().alias("_row")), "requests")
-    routed = route(predict_proba(clean, model, "_row"), model.classes, id_col="_row")
-    return (clean.select("_row", "complaint_id", "ts", F.length("narrative").cast("long").alias("narrative_len"))
-                 .join(routed, "_row").drop("_row").withColumn("endpoint", F.lit("predict")))
+    clean = records.select(*extra, "ts", redacted(F.col("narrative")).alias("narrative"))
+    kept = [*extra, "ts", "narrative_len"]
+    scored = clean.withColumn("narrative_len", F.length("narrative").cast("long")).withColumn("z", row_logits(model)(F.col("narrative")))
+    request = scored.select(F.struct(*kept).alias("request"), softmax("z").alias("p"))
+    routed = route(request, model.classes, id_col="request")
+    return routed.select("request.*", "product", "confidence", "top3", "needs_review", F.lit("predict").alias("endpoint"))
 
 
-def route_stream(records: DataFrame, model: LinearModel, out: str, checkpoint: str) -> str:
-    """Append one JSON line per record. Scoring needs two aggregations, so it runs per micro-batch."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        log_rows(route_rows(batch, model)).write.mode("overwrite").json(f"{out}/batch_id={batch_id}")
-
-    run_batches(records, step, checkpoint)
-    return out
+def route_stream(records: DataFrame, model: LinearModel, out: str, checkpoint: str, *extra: str) -> str:
+    """Append one JSON line per record, each once: one streaming plan without state, ending in a file sink."""
+    return run_available(log_rows(route_rows(records, model, *extra), *extra), out, checkpoint, fmt="json")
 
 
 def window_stats(log: DataFrame, width: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
