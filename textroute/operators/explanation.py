@@ -1,13 +1,19 @@
 """Why a record was routed as it was, and where the model does badly."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import nsmallest
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
+from ..session import fill_cores
 from . import features as feat
 from .evaluation import class_scores, pair_counts
-from .linear import LinearModel, _ranked, softmax
+from .linear import LinearModel, RowScorer, _ranked, columns_of, softmax
 
 # Length buckets closed on the right, with their labels.
 LENGTH_BUCKETS = [(200, "<200"), (500, "200-500"), (1000, "500-1k"), (2000, "1k-2k"),
@@ -37,44 +43,38 @@ def explain_rows(df: DataFrame, model: LinearModel, k: int = 10, id_col: str = "
                  text: str = "narrative") -> DataFrame:
     """Per record: predicted class, confidence, runner-up, and the terms that pushed most for and against it.
 
-    A term's contribution is its value times the predicted class's weight. The terms are counted
-    once: one aggregation by record adds up the logits and gathers the record's own weighted terms,
-    from which the `k` best and `k` worst are taken within the row.
+    A term's contribution is its value times the predicted class's weight. Everything is found within the row: the class
+    first, then the contributions to it, of which `k` on either side leave the row. Nothing is shuffled.
     """
-    n = len(model.classes)
-    terms = feat.term_counts(df, id_col, text, model.blocks, keep_empty=True)
-    weighted = feat.weighted_terms(terms, model.terms, how="left")
-    item = F.struct(feature_name().alias("feature"), "weight", "weights")
-    per_block = weighted.groupBy(id_col, "block").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-        F.collect_list(F.when(F.col("weight").isNotNull(), item)).alias("items"),
-        *[F.sum(F.col("weight") * F.col("weights")[i]).alias(f"s{i}") for i in range(n)])
-    scaled = F.transform("items", lambda x: F.struct(
-        x["feature"].alias("feature"), (x["weight"] / F.col("norm")).alias("value"), x["weights"].alias("weights")))
-    per_record = per_block.withColumn("items", scaled).groupBy(id_col).agg(
-        F.flatten(F.collect_list("items")).alias("items"),
-        *[F.sum(F.col(f"s{i}") / F.col("norm")).alias(f"z{i}") for i in range(n)])
-    z = F.array(*[F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + F.lit(model.intercepts[i]) for i in range(n)])
-    names = F.array(*[F.lit(c) for c in model.classes])
-    rows = (per_record.withColumn("z", z).withColumn("p", softmax("z")).withColumn("r", _ranked(model.classes))
-                      .withColumn("pred", F.col("r")[0]["class"])
-                      .withColumn("at", F.array_position(names, F.col("pred")).cast("int")))
-    contributions = F.transform("items", lambda x: F.struct(
-        x["feature"].alias("feature"), (x["value"] * F.element_at(x["weights"], F.col("at"))).alias("c")))
-    rows = rows.withColumn("c", F.filter(contributions, lambda x: x["c"] != 0))
-
-    def first(items: Column, sign: int) -> Column:
-        # Compared rounded, so that sums taken in another order rank the same; ties by name.
-        keyed = F.transform(items, lambda x: F.struct(
-            (F.round(x["c"], 9) * sign).alias("o"), x["feature"].alias("feature"), x["c"].alias("c")))
-        return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda x: F.struct(
-            x["feature"].alias("feature"), F.round(x["c"], 3).alias("contribution")))
-
+    scorer = RowScorer(model)
+    side = "array<struct<feature:string,c:double>>"
+
+    @F.pandas_udf(f"struct<z:array<double>,best:{side},worst:{side}>")
+    def told(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for items in zip(*columns_of(batch)):
+                known = list(scorer.known(items))
+                z = scorer.start + sum(value @ weights for _, _, value, weights in known)
+                at, pushed = int(np.argmax(np.exp(z - z.max()))), []
+                for block, terms, value, weights in known:
+                    prefix = "char:" if block == feat.CHAR_BLOCK else ""
+                    pushed += [(prefix + t, c) for t, c in zip(terms, (value * weights[:, at]).tolist()) if c]
+                # Compared rounded, so that sums taken in another order rank the same; ties by name.
+                rows.append((z, nsmallest(k, pushed, key=lambda x: (-round(x[1], 9), x[0])),
+                             nsmallest(k, (x for x in pushed if x[1] < 0), key=lambda x: (round(x[1], 9), x[0]))))
+            sides = [[[{"feature": f, "c": c} for f, c in x] for x in column] for column in ([r[1] for r in rows], [r[2] for r in rows])]
+            yield pd.DataFrame({"z": [r[0] for r in rows], "best": sides[0], "worst": sides[1]})
+
+    def shown(items: str) -> Column:
+        return F.transform(items, lambda x: F.struct(x["feature"].alias("feature"), F.round(x["c"], 3).alias("contribution")))
+
+    items = [feat.block_items(F.col(text))[b] for b in model.blocks]
+    rows = fill_cores(df.select(id_col, text), id_col).select(id_col, told(*items).alias("t")).select(id_col, "t.*")
+    rows = rows.withColumn("p", softmax("z")).withColumn("r", _ranked(model.classes))
     return rows.select(
-        id_col, "pred", F.col("r")[0]["p"].alias("confidence"),
-        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"),
-        first(F.col("c"), -1).alias("pushed_for"),
-        first(F.filter("c", lambda x: x["c"] < 0), 1).alias("pushed_against"))
+        id_col, F.col("r")[0]["class"].alias("pred"), F.col("r")[0]["p"].alias("confidence"),
+        F.try_element_at("r", F.lit(2))["class"].alias("runner_up"), shown("best").alias("pushed_for"), shown("worst").alias("pushed_against"))
 
 
 def example_ids(preds: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:

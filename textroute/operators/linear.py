@@ -155,36 +155,48 @@ def predict_proba(df: DataFrame, model: LinearModel, id_col: str = "complaint_id
     return scored.select(id_col, softmax("z").alias("p"))
 
 
+class RowScorer:
+    """The model as arrays, for work within a row: `max_features` bounds what travels to the tasks."""
+
+    def __init__(self, model: LinearModel) -> None:
+        self.start, self.tables = np.array(model.intercepts, np.float64), {}
+        for block in model.blocks:
+            rows = model.terms.filter(F.col("block") == block).select("term", "idf", "weights").toPandas()
+            weights = np.array(rows["weights"].tolist(), np.float64).reshape(len(rows), len(model.classes))
+            self.tables[block] = ({t: i for i, t in enumerate(rows["term"])}, rows["idf"].to_numpy(np.float64), weights)
+
+    def known(self, items: tuple) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
+        """Per block that has any: the row's known terms, their values and their weights per class."""
+        for found, (block, (index, idf, weights)) in zip(items, self.tables.items()):
+            counts = Counter(() if found is None else found)
+            if block == feat.CHAR_BLOCK:
+                counts = feat.grams_of_words(counts)
+            terms = [t for t in counts if t in index]
+            if terms:
+                at, tf = np.array([index[t] for t in terms]), np.array([counts[t] for t in terms])
+                value = (1 + np.log(tf)) * idf[at]
+                yield block, terms, value / np.sqrt(value @ value), weights[at]
+
+    def logits(self, items: tuple) -> np.ndarray:
+        return self.start + sum(value @ weights for _, _, value, weights in self.known(items))
+
+
+def columns_of(batch: pd.Series | tuple[pd.Series, ...]) -> tuple[pd.Series, ...]:
+    """The columns of a batch; a single one comes as it is."""
+    return batch if isinstance(batch, tuple) else (batch,)
+
+
 def row_logits(model: LinearModel) -> Callable[[Column], Column]:
-    """A function from a text column to its logits, one array per row and no exchange: for streams and single requests.
+    """A function from a text column to its logits, one array per row and no exchange.
 
-    Texts are cut into terms by the same expressions as in `logits`. The model travels to the tasks whole, as the vocabulary
-    bounds it; a large batch is better served by `logits`, which ships texts instead.
+    Texts are cut into terms by the same expressions as in `logits`, which suits a model too large for a task.
     """
-    tables = {}
-    for block in model.blocks:
-        rows = model.terms.filter(F.col("block") == block).select("term", "idf", "weights").toPandas()  # `max_features` rows at most
-        weights = np.array(rows["weights"].tolist(), np.float64).reshape(len(rows), len(model.classes))
-        tables[block] = ({t: i for i, t in enumerate(rows["term"])}, rows["idf"].to_numpy(np.float64), weights)
-    start = np.array(model.intercepts, np.float64)
+    scorer = RowScorer(model)
 
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            out = []
-            for row in zip(*(columns if isinstance(columns, tuple) else (columns,))):  # a single block comes as it is
-                z = start.copy()
-                for items, (block, (index, idf, weights)) in zip(row, tables.items()):
-                    counts = Counter(() if items is None else items)
-                    if block == feat.CHAR_BLOCK:
-                        counts = feat.grams_of_words(counts)
-                    known = [(index[t], n) for t, n in counts.items() if t in index]
-                    if known:
-                        at, tf = (np.array(x) for x in zip(*known))
-                        weight = (1 + np.log(tf)) * idf[at]
-                        z += weight @ weights[at] / np.sqrt(weight @ weight)
-                out.append(z)
-            yield pd.Series(out)
+        for batch in batches:
+            yield pd.Series([scorer.logits(row) for row in zip(*columns_of(batch))])
     return lambda text: scores(*[feat.block_items(text)[b] for b in model.blocks])
 
 
