@@ -119,48 +119,67 @@ def smooth_frequencies(terms: DataFrame, n: Column | int) -> DataFrame:
 
 @dataclass
 class Index:
-    """Stored tables: chunks, and `(block, scope, term, place, weight)` postings per search scope."""
+    """Stored tables. Chunks with the same products form a class, and classes are cut into groups.
+
+    `postings`: `(block, term, cls, part, peak, items)`, one row for each term of a group: its largest weight and the
+    `(place, weight)` of its chunks. `places`: `(block, cls, places)`, the chunks in corpus order. `scopes`: `(scope, allowed,
+    classes)`, the classes a search may return, as a bitmap and as a list. Neither postings nor places grow with the
+    number of products.
+    """
     chunks: DataFrame
     postings: DataFrame
-    candidates: DataFrame
+    places: DataFrame
+    scopes: DataFrame
     products: list[str]
     n_blocks: int
+    n_groups: int
 
 
-def _memberships(chunks: DataFrame, products: list[str]) -> DataFrame:
-    """`(scope, place)`: the chunks a search may return, per product, for other products and unfiltered.
+#: Chunks of a group, and how many groups a query tries before it knows what a chunk must reach.
+GROUP_CHUNKS = 64
+SEED_GROUPS = 16
 
-    General chunks belong to every product's scope, so that a query has one scope to look in.
-    """
-    place = F.struct("source", "position", "id").alias("place")
-    named = [f"product:{p}" for p in products]
-    everywhere = F.array(*[F.lit(s) for s in ["any", "general", *named]])
-    own = F.concat(F.array(F.lit("any")),
-                   F.transform(F.array_distinct("products"), lambda p: F.concat(F.lit("product:"), p)))
-    scopes = F.when(F.array_contains("products", GENERAL), everywhere).otherwise(own)
-    return chunks.select(place, F.explode(scopes).alias("scope"))
+
+def _scopes(sets: list[tuple[int, list[str]]], products: list[str]) -> list[tuple[str, list[int], list[int]]]:
+    """Every scope's classes. General chunks belong to every product's scope, so that a query looks in one scope."""
+    general = {c for c, names in sets if GENERAL in names}
+    named = {f"product:{p}": general | {c for c, names in sets if p in names} for p in products}
+    out = []
+    for scope, classes in {"any": {c for c, _ in sets}, "general": general, **named}.items():
+        words = [0] * (len(sets) // 64 + 1)
+        for c in classes:
+            words[c // 64] |= 1 << c % 64
+        out.append((scope, [w - (1 << 64) if w >> 63 else w for w in words], sorted(classes)))
+    return out
 
 
 def build_index(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, limit: int = BROADCAST_LIMIT_BYTES,
-                weights: Callable[[DataFrame], DataFrame] = bm25_weights) -> Index:
+                weights: Callable[[DataFrame], DataFrame] = bm25_weights, group_chunks: int = GROUP_CHUNKS) -> Index:
     """Weigh the corpus once and cut it into blocks that are small enough to broadcast.
 
-    Document frequencies and mean length stay those of the whole corpus. The product names come to
-    the driver: they are the label set, not data that grows.
+    Document frequencies and mean length stay those of the whole corpus. The distinct product lists come to the driver: they
+    are the label set, not data that grows.
     """
-    chunks = materialize(chunks.select("id", "source", "title", "products", "text", "position"), "chunks")
-    names = (chunks.select(F.explode("products").alias("p")).filter(F.col("p") != GENERAL)
-                   .distinct().orderBy("p").collect())
-    products = [r["p"] for r in names]
-    scopes = _memberships(chunks, products)
-    weighted = weights(chunks).select("id", "term", "weight")
-    by_scope = scopes.withColumn("id", F.col("place.id")).join(weighted, "id").select("scope", "term", "place", "weight")
-    stored = materialize(by_scope, "postings")
-    n_blocks = max(1, ceil(chunks.count() / block_chunks), ceil(serialized_bytes(stored) / limit))
-    block = F.pmod(F.xxhash64("place.id"), F.lit(n_blocks)).cast("int")
-    cands = (scopes.withColumn("block", block).groupBy("block", "scope")
-                   .agg(F.array_sort(F.collect_list("place")).alias("places")))
-    return Index(chunks, stored.withColumn("block", block), materialize(cands, "candidates"), products, n_blocks)
+    spark = chunks.sparkSession
+    named = chunks.select("id", "source", "title", "products", "text", "position")
+    chunks = materialize(named.withColumn("product_set", F.array_sort(F.array_distinct(F.coalesce("products", F.array().cast("array<string>"))))), "chunks")
+    found = sorted(r["product_set"] for r in chunks.select("product_set").distinct().collect())
+    sets = list(enumerate(found))
+    products = sorted({p for names in found for p in names if p != GENERAL})
+    scopes = spark.createDataFrame(_scopes(sets, products), "scope string, allowed array<long>, classes array<int>")
+    classes = F.broadcast(spark.createDataFrame(sets, "cls int, product_set array<string>"))
+    placed = chunks.join(classes, "product_set").select("id", F.struct("source", "position", "id").alias("place"), "cls")
+    weighted = materialize(placed.join(weights(chunks).select("id", "term", "weight"), "id").select("term", "cls", "place", "weight"), "weights")
+    n = chunks.count()
+    n_blocks = max(1, ceil(n / block_chunks), ceil(serialized_bytes(weighted) / limit))
+    n_groups = max(1, ceil(n / n_blocks / group_chunks))
+    code = F.xxhash64("place.id")
+    block, part = F.pmod(code, F.lit(n_blocks)).cast("int"), F.pmod(F.shiftright(code, 32), F.lit(n_groups)).cast("int")
+    postings = weighted.groupBy(block.alias("block"), "term", "cls", part.alias("part")).agg(
+        F.max("weight").alias("peak"), F.collect_list(F.struct("place", "weight")).alias("items"))
+    places = placed.groupBy(block.alias("block"), "cls").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return Index(chunks.drop("product_set"), materialize(postings, "postings"), materialize(places, "places"), materialize(scopes, "scopes"),
+                 products, n_blocks, n_groups)
 
 
 def search_scope(product: Column, index: Index) -> Column:
@@ -171,21 +190,78 @@ def search_scope(product: Column, index: Index) -> Column:
              .otherwise("general"))
 
 
+def _scoped(queries: DataFrame, index: Index, product: str | None) -> DataFrame:
+    """`(query_id, text, scope)`, partitioned by query."""
+    p = F.col(product) if product else F.lit(None).cast("string")
+    return spread(queries.select("query_id", "text", search_scope(p, index).alias("scope")), "query_id")
+
+
+def _terms(queries: DataFrame, index: Index) -> DataFrame:
+    """`(query_id, scope, term, qtf, allowed)`; a query without a term keeps one row. One row per scope is broadcast."""
+    terms = (queries.select("query_id", "scope", F.explode_outer(search_tokens(F.col("text"))).alias("term"))
+                    .groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
+    return terms.join(F.broadcast(index.scopes.select("scope", "allowed")), "scope", "left")
+
+
+#: Whether the scope's bitmap has the class.
+_IN_SCOPE = "getbit(get(allowed, cast(cls div 64 as int)), cls % 64) = 1"
+
+
+def _block(index: Index, block: int, *columns: str) -> DataFrame:
+    return F.broadcast(index.postings.filter(F.col("block") == block).select(F.col("term").alias("posted"), *columns))
+
+
 def _scored(queries: DataFrame, index: Index, block: int) -> DataFrame:
     """`(query_id, scope, place, score)` for chunks of the block that share a term with the query.
 
     A query also has one row without a place, for its terms that hit nothing, so none gets lost.
     """
-    part = F.broadcast(index.postings.filter(F.col("block") == block).drop("block"))
-    terms = (queries.select("query_id", "scope", F.explode_outer(search_tokens(F.col("text"))).alias("term"))
-                    .groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf")))
-    return (terms.join(part, ["scope", "term"], "left")
+    hit = (F.col("term") == F.col("posted")) & F.expr(_IN_SCOPE)
+    found = _terms(queries, index).join(_block(index, block, "cls", "items"), hit, "left")
+    return (found.select("query_id", "scope", "qtf", F.inline_outer("items"))
                  .groupBy("query_id", "scope", "place").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
 
 
-def _scoped(queries: DataFrame, index: Index, product: str | None) -> DataFrame:
-    p = F.col(product) if product else F.lit(None).cast("string")
-    return spread(queries.select("query_id", "text", search_scope(p, index).alias("scope")), "query_id")
+def matched_groups(queries: DataFrame, index: Index, block: int) -> DataFrame:
+    """`(query_id, term, qtf, cls, part, size, bound, turn)`: the query's terms in every group of its scope.
+
+    `bound` is what no chunk of the group exceeds: the sum of its terms' peaks. `turn` ranks the query's groups by it.
+    """
+    heads = _block(index, block, "cls", "part", "peak", F.size("items").alias("size"))
+    rows = _terms(queries, index).join(heads, (F.col("term") == F.col("posted")) & F.expr(_IN_SCOPE))
+    group = Window.partitionBy("query_id", "cls", "part")
+    rows = rows.withColumn("bound", F.sum(F.col("qtf") * F.greatest("peak", F.lit(0.0))).over(group))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cls", "part")
+    return rows.select("query_id", "scope", "term", "qtf", "cls", "part", "size", "bound", F.dense_rank().over(order).alias("turn"))
+
+
+def needed_groups(queries: DataFrame, index: Index, block: int, k: int, seeds: int = SEED_GROUPS) -> tuple[DataFrame, DataFrame]:
+    """The groups that may hold one of the best `k` chunks, in two parts: those tried first, and those whose bound isn't
+    below the k-th best score that the first ones gave. Equal scores stay in."""
+    groups = materialize(matched_groups(queries, index, block), "groups")
+    first = groups.filter(F.col("turn") <= seeds)
+    reached = _group_scores(first, index, block).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    least = reached.select("query_id", F.get("s", F.lit(k - 1)).alias("least")).filter("least > 0")
+    # The same slack as in comparing scores: what rounds to the same score isn't left out.
+    slack = F.col("least") * (1 - 1e-9) - 10.0 ** -SCORE_DIGITS
+    rest = groups.filter(F.col("turn") > seeds).join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= slack))
+    return first, rest.drop("least")
+
+
+def _group_scores(groups: DataFrame, index: Index, block: int) -> DataFrame:
+    items = _block(index, block, F.col("cls").alias("c"), F.col("part").alias("g"), "items")
+    hit = (F.col("term") == F.col("posted")) & (F.col("cls") == F.col("c")) & (F.col("part") == F.col("g"))
+    return (groups.join(items, hit).select("query_id", "scope", "qtf", F.inline("items"))
+                  .groupBy("query_id", "scope", "place").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
+
+
+def _pruned(queries: DataFrame, index: Index, block: int, k: int, seeds: int) -> DataFrame:
+    """`_scored` without chunks that can't be among the best `k`."""
+    first, rest = needed_groups(queries, index, block, k, seeds)
+    none = queries.select("query_id", "scope", F.lit(None).cast(index.postings.schema["items"].dataType.elementType["place"].dataType).alias("place"),
+                          F.lit(None).cast("double").alias("score"))
+    scores = reduce(DataFrame.unionByName, [none, _group_scores(first, index, block), _group_scores(rest, index, block)])
+    return spread(scores, "query_id")
 
 
 def _one_by_one(parts: list[DataFrame]) -> list[DataFrame]:
@@ -209,26 +285,36 @@ def _entry(place: Column, score: Column) -> Column:
     return F.struct((-F.round(score, SCORE_DIGITS)).alias("o"), place.alias("place"), score.alias("score"))
 
 
-def _block_top(queries: DataFrame, index: Index, block: int, k: int) -> DataFrame:
+def _block_top(queries: DataFrame, index: Index, block: int, k: int, seeds: int) -> DataFrame:
     """The best `k` candidates of a block per query as one array, chunks without a shared term included.
 
-    Those have score 0 and come in corpus order; the first `k + matched` candidates of the scope
-    hold at least `k` of them, or all there are.
+    Those have score 0 and come in corpus order; the first `k + matched` candidates of a class hold at least `k` of
+    them, or all there are. A query with `k` positive scores needs none, so only the others look at them, and
+    groups are left out only for a query that has `k` positive scores.
     """
+    scored = _scored(queries, index, block) if index.n_groups <= seeds else _pruned(queries, index, block, k, seeds)
     hit = F.when(F.col("place").isNotNull(), _entry(F.col("place"), F.col("score")))
-    hits = _scored(queries, index, block).groupBy("query_id", "scope").agg(F.collect_list(hit).alias("hits"))
-    cands = F.broadcast(index.candidates.filter(F.col("block") == block).drop("block"))
-    rows = hits.join(cands, "scope")
+    hits = scored.groupBy("query_id", "scope").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    short = (F.size("hits") < k) | (F.get("hits", F.lit(k - 1))["score"] <= 0)
+    rows = hits.join(F.broadcast(index.scopes.select("scope", "classes")), "scope", "left")
+    rows = rows.select("query_id", "hits", F.explode_outer(F.when(short, F.col("classes"))).alias("of"))
+    places = F.broadcast(index.places.filter(F.col("block") == block).select("cls", "places"))
     first = F.slice("places", F.lit(1), F.lit(k) + F.size("hits"))
-    rest = F.slice(F.array_except(first, F.transform("hits", lambda x: x["place"])), 1, k)
+    rows = (rows.join(places, F.col("of") == F.col("cls"), "left")
+                .groupBy("query_id").agg(F.any_value("hits").alias("hits"), F.array_sort(F.flatten(F.collect_list(first))).alias("first")))
+    rest = F.slice(F.array_except("first", F.transform("hits", lambda x: x["place"])), 1, k)
     zeros = F.transform(rest, lambda p: _entry(p, F.lit(0.0)))
     return rows.select("query_id", F.slice(F.array_sort(F.concat("hits", zeros)), 1, k).alias("best"))
 
 
-def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "product") -> DataFrame:
-    """`(query_id, rank, id, score)`: the best `k` candidates by score, equal ones in corpus order."""
+def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "product", seeds: int = SEED_GROUPS) -> DataFrame:
+    """`(query_id, rank, id, score)`: the best `k` candidates by score, equal ones in corpus order.
+
+    In a corpus of more than `seeds` groups, a query first scores its most promising groups, and then only those that can
+    still reach its `k`-th best score.
+    """
     q = _scoped(queries, index, product)
-    tops = _one_by_one([_block_top(q, index, b, k) for b in range(index.n_blocks)])
+    tops = _one_by_one([_block_top(q, index, b, k, seeds) for b in range(index.n_blocks)])
     best = tops[0]
     if len(tops) > 1:
         # Partitioned again by name: a union need not keep what its parts share.
@@ -241,7 +327,9 @@ def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "
 
 def candidate_counts(queries: DataFrame, index: Index, product: str | None = "product") -> DataFrame:
     """`(query_id, n_candidates)`: how many chunks the product filter leaves each query."""
-    sizes = index.candidates.groupBy("scope").agg(F.sum(F.size("places")).alias("n_candidates"))
+    per_class = index.places.groupBy("cls").agg(F.sum(F.size("places")).alias("n"))
+    sizes = (index.scopes.select("scope", F.explode("classes").alias("cls")).join(F.broadcast(per_class), "cls")
+                  .groupBy("scope").agg(F.sum("n").alias("n_candidates")))
     p = F.col(product) if product else F.lit(None).cast("string")
     scoped = queries.select("query_id", search_scope(p, index).alias("scope"))
     # One row per product name.
