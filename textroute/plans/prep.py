@@ -137,14 +137,26 @@ _CHECKED = """select complaint_id - complaint_id % 2 as complaint_id,
     * exclude (complaint_id, date_received) from complaints"""
 
 
-@query("contract_failures", with_ctes(["complaints"], _failure_rows(), {"checked": _CHECKED}))
-def _(spark, sf_dir):
+_FAILURES_SQL = with_ctes(["complaints"], _failure_rows(), {"checked": _CHECKED})
+
+
+def faulty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "complaints")
-    checked = rows.withColumns({
+    return rows.withColumns({
         "complaint_id": F.col("complaint_id") - F.col("complaint_id") % 2,
         "date_received": F.when(F.col("complaint_id") % 5 == 0, F.lit("2010-06-01").cast("date"))
                           .otherwise(F.col("date_received"))})
-    return contract.contract_failures(checked)
+
+
+@query("contract_failures", _FAILURES_SQL)
+def _(spark, sf_dir):
+    return contract.contract_failures(faulty_rows(spark, sf_dir))
+
+
+@query("contract_failures_on_write", _FAILURES_SQL)
+def _(spark, sf_dir):
+    counts = contract.write_counted(faulty_rows(spark, sf_dir), work_path(spark, "checked"))
+    return spark.createDataFrame(list(counts.items()), "rule string, n_failed long")
 
 
 @query("validate_clean", clean_sql("select count(*) as n, sum(narrative_len)::bigint as chars from cleaned"))
