@@ -46,6 +46,16 @@ def test_blocks_pass_over_canonical_links_and_redirects(spark):
     assert moved[9] == moved[8] == moved[7] == "block"
 
 
+def test_a_link_without_use_hides_no_other(spark):
+    def page(*links):
+        return "".join(f"<link rel='canonical' href='{u}'>" for u in links)
+    rows = [(1, "http://x.com/1", page("", "#top", "mailto:a@b.c", "http://bad.net/a")),
+            (2, "http://x.com/2", "<meta http-equiv=refresh content='0; url=#a'><META http-equiv=refresh content='0; URL=http://bad.net/b'>"),
+            (3, "http://x.com/3", page("http://x.com/3", "4", "5")), (4, "http://x.com/4", None), (5, "http://x.com/5", page("http://w.net/")),
+            (6, "http://y.com/6", page("#a", "mailto:x"))]
+    assert {r[0]: r[4] for r in judged(spark, rows)} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 @pytest.mark.parametrize("base, link, want", [
     ("http://a.b/c/d?q#f", "e", "http://a.b/c/e"), ("http://a.b/c/d?q#f", "/e#x", "http://a.b/e"), ("http://a.b", "e", "http://a.b/e"),
     ("HTTPS://A.B/x", "//C.d/Y", "https://c.d/Y"), ("http://a.b/c?x", "?y", "http://a.b/c?y"), ("http://a.b/c", "#y", None),
@@ -69,7 +79,9 @@ def test_sql_agrees_where_pages_have_links(spark, tmp_path):
 
     from tests.oracle_check import differences
     rows = [(i, f"http://s{i % 7}.x.com/{i}", canonical(f"/{i + 7}") if i % 3 else canonical(f"http://s{i % 5}.{'net' if i % 4 else 'org'}/fr/{i}"))
-            for i in range(60)] + [(70, "HTTP://Y.com", "<meta content='1;URL=q?a=1&amp;b' http-equiv=refresh>"), (71, None, "<link rel=canonical href=x>")]
+            for i in range(60)] + [(70, "HTTP://Y.com", "<meta content='1;URL=q?a=1&amp;b' http-equiv=refresh>"), (71, None, "<link rel=canonical href=x>"),
+            (72, "http://x.com/72", "<link rel=canonical href='#'><link href=mailto:a rel=canonical><link rel=canonical href='http://bad.net/'>"),
+            (73, "http://x.com/73", "<meta http-equiv=refresh content='0'><meta http-equiv=refresh content='0;url=72'><link rel=canonical href=74>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")

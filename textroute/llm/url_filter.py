@@ -53,30 +53,54 @@ def address(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), url_host(url), rest))
 
 
-def resolve(link: Column, base: Column) -> Column:
-    """A link as an address, seen from `base`; null for empty links, fragments and schemes without a host."""
-    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    site = F.concat(F.substring_index(base, "://", 1), F.lit("://"), url_host(base))
-    folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    full = (F.when(link.rlike(ABSOLUTE), link)
-            .when(link.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), link))
+def _site(scheme: Column, host: Column) -> Column:
+    return F.concat(scheme, F.lit("://"), host)
+
+
+def _folder(path: Column) -> Column:
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    return F.when(folder == "", "/").otherwise(folder)
+
+
+def _absolute(link: Column, scheme: Column, site: Column, path: Column, folder: Column) -> Column:
+    """A trimmed link with the scheme and host it lacks; null for empty links, fragments and schemes without a host."""
+    return (F.when(link.rlike(ABSOLUTE), link)
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
             .when((link == "") | link.startswith("#") | link.rlike(OTHER_SCHEME), F.lit(None))
             .when(link.startswith("/"), F.concat(site, link))
-            .when(link.startswith("?"), F.concat(site, url_path(base), link))
-            .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link)))
+            .when(link.startswith("?"), F.concat(site, path, link))
+            .otherwise(F.concat(site, folder, link)))
+
+
+def _plain(link: Column) -> Column:
+    return F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """A link as an address, seen from `base`; null for empty links, fragments and schemes without a host."""
+    scheme, path = F.substring_index(base, "://", 1), url_path(base)
+    full = _absolute(_plain(link), scheme, _site(scheme, url_host(base)), path, _folder(path))
     return F.when(F.instr(base, "://") > 0, address(full))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """`(source, target)` addresses from canonical links and redirects inside pages. The first of each kind counts."""
-    def first(tags, mark, part):
+    """`(source, target)` addresses from every canonical link and redirect inside pages.
+
+    A link that doesn't resolve (empty, a fragment, `mailto:`) is no edge and hides no other. The parts of a page's
+    own address are columns of an earlier step, so that `resolve`'s cases don't repeat them in the generated code.
+    """
+    def links(tags, mark, part):
         found = F.filter(F.regexp_extract_all(F.col("html"), F.lit(tags), 0), lambda t: t.rlike(mark))
-        return F.regexp_extract(F.get(found, 0), part, 1)
+        return F.transform(found, lambda t: F.regexp_extract(t, part, 1))
     rows = (pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
-            .filter(F.col("html").rlike("(?i)canonical|refresh")))
-    links = rows.select("url", F.explode(F.array(first(LINK, CANONICAL, HREF), first(META, REFRESH, TARGET))).alias("link"))
-    return (links.select(address(F.col("url")).alias("source"), resolve(F.col("link"), F.col("url")).alias("target"))
-            .filter("source != target"))
+            .filter(F.col("html").rlike("(?i)canonical|refresh") & (F.instr("url", "://") > 0)))
+    found = rows.select("url", F.explode(F.concat(links(LINK, CANONICAL, HREF), links(META, REFRESH, TARGET))).alias("link"))
+    parts = found.select(_plain(F.col("link")).alias("link"), F.substring_index("url", "://", 1).alias("scheme"),
+                         url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"),
+                         address(F.col("url")).alias("source"))
+    sites = parts.withColumns({"site": _site(F.col("scheme"), F.col("host")), "folder": _folder(F.col("path"))})
+    full = sites.select("source", _absolute(*map(F.col, ["link", "scheme", "site", "path", "folder"])).alias("full"))
+    return full.select("source", address(F.col("full")).alias("target")).filter("source != target")
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -141,9 +165,10 @@ def _address(u: str) -> str:
             f"regexp_extract({_REST.format(u=u)}, '^[^/?#]*([^#]*)', 1) end")
 
 
-def _first(tags: str, mark: str, part: str) -> str:
+def _links(tags: str, mark: str, part: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    return f"regexp_extract(list_filter(regexp_extract_all(html, {q(tags)}), lambda t: regexp_matches(t, {q(mark)}))[1], {q(part)}, 1)"
+    return (f"list_transform(list_filter(regexp_extract_all(html, {q(tags)}), lambda t: regexp_matches(t, {q(mark)})), "
+            f"lambda t: regexp_extract(t, {q(part)}, 1))")
 
 
 _SITE = f"split_part(url, '://', 1) || '://' || {_host('url')}"
@@ -153,7 +178,7 @@ ORACLE = f"""
 with recursive rules(verdict, rule, rule_host, rule_path) as (
   values {', '.join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in RULES)}),
 raw as (select url, replace(trim(l), '&amp;', '&') as link from (
-  select url, unnest([{_first(LINK, CANONICAL, HREF)}, {_first(META, REFRESH, TARGET)}]) as l
+  select url, unnest({_links(LINK, CANONICAL, HREF)} || {_links(META, REFRESH, TARGET)}) as l
   from pages where regexp_matches(html, '(?i)canonical|refresh'))),
 full_links as (select url, case
     when regexp_matches(link, '{ABSOLUTE}') then link
