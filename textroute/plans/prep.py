@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, contract, profiling, splitting
+from ..operators import cleaning, contract, late, profiling, splitting
 from ..schemas import CATEGORICALS, CLEAN_SCHEMA, CURRENT_LABELS, NULL_TOKENS, RAW_HEADERS, RENAMES
 from ..session import fill_cores, materialize, work_path
 from ..sources import files
@@ -113,6 +113,11 @@ def _(spark, sf_dir):
     return cleaning.clean(raw_export(spark, sf_dir))
 
 
+@query("dedupe_ids_late", clean_sql(f"select {', '.join(_CLEAN_COLS)} from cleaned"))
+def _(spark, sf_dir):
+    return late.dedupe_ids(late.numbered(cleaning.clean_rows(raw_export(spark, sf_dir))))
+
+
 @query("row_cap", clean_sql("select complaint_id, date_received from cleaned order by date_received, complaint_id limit 150"))
 def _(spark, sf_dir):
     return cleaning.clean(raw_export(spark, sf_dir), max_rows=150).select("complaint_id", "date_received")
@@ -323,6 +328,12 @@ def _(spark, sf_dir):
     return splitting.dedupe_train(rows).select("complaint_id", "split", "narrative_len")
 
 
+@query("dedupe_train_late", split_sql("select complaint_id, split, narrative_len from deduped", "deduped"))
+def _(spark, sf_dir):
+    stored = late.located(materialize(view(spark, sf_dir, "complaints"), "complaints"))
+    return late.dedupe_train(splitting.temporal_split(stored)).select("complaint_id", "split", "narrative_len")
+
+
 @query("leakage_guard", split_sql("select complaint_id, split from guarded", "guarded"))
 def _(spark, sf_dir):
     rows = splitting.temporal_split(view(spark, sf_dir, "complaints"))
