@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, contract, late, profiling, splitting
+from ..operators import cleaning, contract, late, profiling, sketches, splitting
 from ..schemas import CATEGORICALS, CLEAN_SCHEMA, CURRENT_LABELS, NULL_TOKENS, RAW_HEADERS, RENAMES
 from ..session import fill_cores, materialize, work_path
 from ..sources import files
@@ -232,6 +232,29 @@ def _(spark, sf_dir):
     return profiling.length_quantiles(view(spark, sf_dir, "complaints"))
 
 
+def _exact_quantile(q: float) -> str:
+    return f"""select 'narrative_len' as "column", 'q{q:g}' as metric, min(narrative_len)::double as exact, true as within_bounds
+        from (select narrative_len, cume_dist() over (order by narrative_len) as c from complaints) where c >= {q}"""
+
+
+@query("profile_sketches", with_ctes(["complaints"], """
+    select 'narrative' as "column", 'distinct' as metric, count(distinct narrative)::double as exact, true as within_bounds from complaints
+    union all select 'company', 'distinct', count(distinct company)::double, true from complaints
+    union all """ + _exact_quantile(0.5) + " union all " + _exact_quantile(0.95)))
+def _(spark, sf_dir):
+    """Each channel is a run of its own; the merged sketches are held against the exact figures."""
+    rows, path = view(spark, sf_dir, "complaints"), work_path(spark, "sketches")
+    for r in rows.select("submitted_via").distinct().collect():
+        sketches.store(sketches.sketch(rows.filter(F.col("submitted_via") == r["submitted_via"])), path, r["submitted_via"])
+    merged = sketches.merge(sketches.load(spark, path))
+    figures = {(c, "distinct"): F.count_distinct(c) for c in ("narrative", "company")} | {
+        ("narrative_len", f"q{q:g}"): F.expr(f"percentile_disc({q}) within group (order by narrative_len)") for q in (0.5, 0.95)}
+    exact = rows.agg(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(figures.values())]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.col(f"x{i}").alias("exact")) for i, (c, m) in enumerate(figures)])))
+    within = F.col("exact").between(F.col("low"), F.col("high"))
+    return sketches.estimates(merged).join(exact, ["column", "metric"]).select("column", "metric", "exact", within.alias("within_bounds"))
+
+
 _MISSING = " union all ".join(f"""select '{c}' as "column", round(100.0 * count(*) filter ({c} is null) / count(*), 6)::double
     as missing_pct from complaints""" for c in _CLEAN_COLS)
 
