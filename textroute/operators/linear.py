@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, work_path
+from ..session import broadcast_if_small, materialize, work_path
 from . import features as feat
 
 REVIEW_THRESHOLD = 0.6
+# A fitted model's largest partial derivative of the mean loss: the solver's own tolerance is relative.
+SLOPE_TOLERANCE = 1e-4
 
 
 @dataclass
@@ -58,7 +60,15 @@ def feature_vectors(values: DataFrame, size: int, id_col: str, ids: DataFrame) -
     return spark.read.schema(schema).parquet(path)
 
 
-def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int = 2000,
+def _row_weight(train: DataFrame, classes: list[str], balanced: bool, label: str) -> Column:
+    """What a row counts in the loss: 1, or the balanced weight of its class."""
+    if not balanced:
+        return F.lit(1.0)
+    counts = {r[label]: r["balanced"] for r in feat.class_weights(train, label).collect()}
+    return F.create_map(*[x for name in classes for x in (F.lit(name), F.lit(counts[name]))])[F.col(label)]
+
+
+def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int = 2000, tol: float = 1e-6,
         blocks: tuple[str, ...] = (feat.WORD_BLOCK, feat.CHAR_BLOCK),
         min_df: dict[str, int] | None = None, max_features: dict[str, int] | None = None,
         id_col: str = "complaint_id", text: str = "narrative", label: str = "product") -> LinearModel:
@@ -80,17 +90,14 @@ def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int =
 
     classes = class_list(train, label)
     codes = F.create_map(*[x for i, name in enumerate(classes) for x in (F.lit(name), F.lit(float(i)))])
-    weight = F.lit(1.0)
-    if balanced:
-        counts = {r[label]: r["balanced"] for r in feat.class_weights(train, label).collect()}
-        weight = F.create_map(*[x for name in classes for x in (F.lit(name), F.lit(counts[name]))])[F.col(label)]
+    weight = _row_weight(train, classes, balanced, label)
     labelled = (train.select(id_col, label).join(vectors, id_col)
                      .select("features", codes[F.col(label)].alias("label"), weight.alias("weight")))
     rows = materialize(labelled, "training-rows")
     total = rows.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / (c * total),
-        maxIter=max_iter, tol=1e-6, aggregationDepth=3,
+        maxIter=max_iter, tol=tol, aggregationDepth=3,
     ).fit(rows)
 
     coefficients = list(enumerate(model.coefficientMatrix.toArray().T.tolist()))
@@ -101,6 +108,42 @@ def fit(train: DataFrame, c: float = 4.0, balanced: bool = True, max_iter: int =
     return LinearModel(classes, [float(x) for x in model.interceptVector], table, blocks)
 
 
+def optimality(train: DataFrame, model: LinearModel, c: float = 4.0, balanced: bool = True,
+               id_col: str = "complaint_id", text: str = "narrative", label: str = "product") -> DataFrame:
+    """`(class, n, weight, mass, intercept_slope, slope)`: how far the model is from the optimum of its own loss on `train`.
+
+    The loss, mean weighted cross-entropy plus an L2 penalty on the weights but not on the intercepts, is convex, so a
+    gradient of zero proves the optimum whatever solver found the model. `weight` is the weight of the class's rows and
+    `mass` the weighted probability that all rows give the class, equal at the optimum; `intercept_slope` is their
+    difference over the weight of all rows, `slope` the largest partial derivative over the class's weights.
+
+    Residuals, one row per record, are measured and broadcast or joined by id; the terms stay where they were counted
+    and are added up per term in the map tasks.
+    """
+    k, classes = len(model.classes), model.classes
+    weighted = train.select(id_col, F.col(label).alias("_label"), _row_weight(train, classes, balanced, label).alias("_weight"))
+    total = weighted.agg(F.sum("_weight")).first()[0]
+    missed = [F.col("p")[i] - (F.col("_label") == name).cast("double") for i, name in enumerate(classes)]
+    residuals = materialize(
+        weighted.join(predict_proba(train, model, id_col, text), id_col)
+                .select(id_col, "_label", "_weight", "p", *[(F.col("_weight") * m / total).alias(f"r{i}") for i, m in enumerate(missed)]),
+        "residuals")
+    terms = feat.term_counts(train, id_col, text, model.blocks)
+    values = feat.tfidf(terms, model.terms.select("block", "term", "idf"), id_col)
+    pulls = (values.join(broadcast_if_small(residuals.select(id_col, *[f"r{i}" for i in range(k)])), id_col)
+                   .groupBy("block", "term").agg(*[F.sum(F.col("value") * F.col(f"r{i}")).alias(f"s{i}") for i in range(k)]))
+    slopes = model.terms.join(pulls, ["block", "term"], "left").agg(*[
+        F.max(F.abs(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.col("weights")[i] / (c * total))).alias(f"g{i}") for i in range(k)])
+    sums = residuals.agg(*[x for i, name in enumerate(classes) for x in (
+        F.count_if(F.col("_label") == name).alias(f"n{i}"), F.sum(F.when(F.col("_label") == name, F.col("_weight")).otherwise(0.0)).alias(f"w{i}"),
+        F.sum(F.col("_weight") * F.col("p")[i]).alias(f"m{i}"), F.sum(f"r{i}").alias(f"b{i}"))])
+    # One row each: the sums of the residuals and the largest slopes.
+    rows = [F.struct(F.lit(name).alias("class"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("weight"), F.col(f"m{i}").alias("mass"),
+                     F.col(f"b{i}").alias("intercept_slope"), F.coalesce(F.col(f"_g.g{i}"), F.lit(0.0)).alias("slope"))
+            for i, name in enumerate(classes)]
+    return sums.withColumn("_g", slopes.select(F.struct("*")).scalar()).select(F.inline(F.array(*rows)))
+
+
 def save_model(model: LinearModel, path: str) -> str:
     """Two Parquet tables: one row per term, one row per class."""
     spark = model.terms.sparkSession
