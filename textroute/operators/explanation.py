@@ -46,23 +46,24 @@ def explain_rows(df: DataFrame, model: LinearModel, k: int = 10, id_col: str = "
     A term's contribution is its value times the predicted class's weight. Everything is found within the row: the class
     first, then the contributions to it, of which `k` on either side leave the row. Nothing is shuffled.
     """
-    scorer = RowScorer(model)
+    scorer, model_blocks = RowScorer(model), model.blocks
     side = "array<struct<feature:string,c:double>>"
 
     @F.pandas_udf(f"struct<z:array<double>,best:{side},worst:{side}>")
     def told(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for items in zip(*columns_of(batch)):
-                known = list(scorer.known(items))
-                z = scorer.start + sum(value @ weights for _, _, value, weights in known)
-                at, pushed = int(np.argmax(np.exp(z - z.max()))), []
-                for block, terms, value, weights in known:
+            for n, found in scorer.slices(columns_of(batch)):
+                z = scorer.score(found, n)
+                best, pushed = np.argmax(np.exp(z - z.max(1, keepdims=True)), axis=1), [[] for _ in range(n)]
+                for block, (at, place, value) in zip(model_blocks, found):
                     prefix = "char:" if block == feat.CHAR_BLOCK else ""
-                    pushed += [(prefix + t, c) for t, c in zip(terms, (value * weights[:, at]).tolist()) if c]
+                    c = value * scorer.weights[block][place, best[at]]
+                    for row, t, x in zip(at[c != 0].tolist(), scorer.terms.terms[block][place[c != 0]].tolist(), c[c != 0].tolist()):
+                        pushed[row].append((prefix + t, x))
                 # Compared rounded, so that sums taken in another order rank the same; ties by name.
-                rows.append((z, nsmallest(k, pushed, key=lambda x: (-round(x[1], 9), x[0])),
-                             nsmallest(k, (x for x in pushed if x[1] < 0), key=lambda x: (round(x[1], 9), x[0]))))
+                rows += [(z[i], nsmallest(k, told_of, key=lambda x: (-round(x[1], 9), x[0])),
+                          nsmallest(k, (x for x in told_of if x[1] < 0), key=lambda x: (round(x[1], 9), x[0]))) for i, told_of in enumerate(pushed)]
             sides = [[[{"feature": f, "c": c} for f, c in x] for x in column] for column in ([r[1] for r in rows], [r[2] for r in rows])]
             yield pd.DataFrame({"z": [r[0] for r in rows], "best": sides[0], "worst": sides[1]})
 
