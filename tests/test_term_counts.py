@@ -1,4 +1,5 @@
 """Terms counted task by task: the same as a count of each record in plain Python, whatever the ids and characters."""
+import random
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -70,3 +71,17 @@ def test_a_full_memory_starts_anew():
     _, codes = grams.codes(pa.array([MANY]))
     new, again = features.renewed(grams, codes[-5:])
     assert grams.odd and new.decode(again).to_pylist() == grams.decode(codes[-5:]).to_pylist()
+
+
+@pytest.mark.parametrize("cap", [3, 8, 20, 60, 1000])
+@pytest.mark.parametrize("paired", [1 << 20, 2])
+def test_pairs_of_rare_words_are_left_out_without_a_change(spark, monkeypatch, cap, paired):
+    """Counting only pairs of frequent words gives what counting all of them gives, ties and repeated ids included."""
+    monkeypatch.setattr(features, "PAIRED", paired)
+    rnd = random.Random(cap)
+    names = ["ab", "abc", "b", "zz", "yy x", "été", "ab ab", "q1", "mm nn", "kk"]
+    rows = [(i // 2, " ".join(rnd.choices(names, [9, 7, 5, 3, 3, 2, 2, 1, 1, 1], k=rnd.randint(0, 9)))) for i in range(60)] + [(None, "ab zz"), (7, None)]
+    df = spark.createDataFrame(rows, "complaint_id long, narrative string")
+    cuts = {"min_df": {"word": 2, "char": 2}, "max_features": {"word": cap, "char": cap}}
+    whole = features.frequent_terms(features.text_frequencies(df), **cuts)
+    assert sorted(map(tuple, features.text_vocabulary(df, **cuts).collect())) == sorted(map(tuple, whole.collect()))
