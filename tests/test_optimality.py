@@ -73,3 +73,21 @@ def test_unweighted_rows(rows):
     counts = {r["product"]: r["count"] for r in rows.groupBy("product").count().collect()}
     assert {name: r["n"] for name, r in got.items()} == counts == {name: r["weight"] for name, r in got.items()}
     assert all(r["mass"] == pytest.approx(r["weight"], rel=1e-2) for r in got.values())
+
+
+def test_solver_stops_at_a_flat_gradient_after_few_steps(rows, monkeypatch):
+    """Steps are scaled by the curvature: however small `tol` is, the gradient ends the fit."""
+    seen, fitter = {}, linear.LogisticRegression.fit
+
+    def fit(self, vectors):
+        seen["fitted"] = fitter(self, vectors)
+        return seen["fitted"]
+    monkeypatch.setattr(linear.LogisticRegression, "fit", fit)
+    model = linear.fit(rows, blocks=("word",), tol=0.0, **CUTS)
+    assert seen["fitted"].steps <= 60
+    assert max(max(abs(r["intercept_slope"]), r["slope"]) for r in linear.optimality(rows, model).collect()) <= linear.SLOPE_TOLERANCE / 10 * 1.001
+
+
+def test_fit_refuses_records_without_a_label(rows):
+    with pytest.raises(ValueError, match="no product"):
+        linear.fit(rows.withColumn("product", F.when(F.col("product") != "Home", F.col("product"))), blocks=("word",), **CUTS)
