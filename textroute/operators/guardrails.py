@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import unicode_pattern
-from ..functions.text import DIGIT, all_matches
+from ..functions.text import DIGIT, EDGE, WORD, all_matches
 
 # What counts as personal data, in the order in which it is replaced.
 PII_PATTERNS = {
@@ -21,6 +21,9 @@ PII_PATTERNS = {
 CITATION = r"\[(\d+)\]"
 TIMELINE = r"(?i)\b(\d+)\s*(?:business\s+)?days?\b"
 
+# The same for the engine: a boundary before a digit is looked for at digits only.
+_TIMELINE = unicode_pattern(TIMELINE).replace(EDGE, rf"(?={DIGIT})(?<!{WORD})", 1)
+
 _LARGEST = 9223372036854775807
 
 
@@ -88,12 +91,11 @@ def check_citations(df: DataFrame, draft: str = "draft", chunk_texts: str = "chu
     """
     df = df.withColumn("_chunks", F.coalesce(chunk_texts, F.array().cast("array<string>")))
     n = F.size("_chunks")
-    pattern, text = unicode_pattern(TIMELINE), F.coalesce(F.col(draft), F.lit(""))
+    text = F.coalesce(F.col(draft), F.lit(""))
     valid = F.filter("_cited", lambda i: (i >= 1) & (i <= n))
     cited_text = F.lower(F.array_join(F.transform(valid, lambda i: F.element_at("_chunks", i.cast("int"))), " "))
-    claims = F.arrays_zip(all_matches(text, pattern, 1).alias("days"), all_matches(text, pattern, 0).alias("phrase"))
-    unsupported = F.transform(F.filter("_claims", lambda x: ~F.array_contains("_supported", x["days"])),
-                              lambda x: F.lower(x["phrase"]))
+    days = lambda phrase: F.regexp_extract(phrase, rf"^{DIGIT}+", 0)
+    unsupported = F.transform(F.filter("_claims", lambda phrase: ~F.array_contains("_supported", days(phrase))), F.lower)
     report = F.struct(
         F.col("_cited").alias("cited"),
         F.filter("_cited", lambda i: (i < 1) | (i > n)).alias("invalid"),
@@ -101,8 +103,8 @@ def check_citations(df: DataFrame, draft: str = "draft", chunk_texts: str = "chu
         ((F.size("_cited") > 0) & (F.size(F.filter("_cited", lambda i: (i < 1) | (i > n))) == 0)
          & (F.size("_unsupported") == 0)).alias("ok"))
     return (df.withColumn("_cited", cited_numbers(F.coalesce(F.col(draft), F.lit(""))))
-              .withColumn("_claims", claims)
-              .withColumn("_supported", all_matches(cited_text, pattern, 1))
+              .withColumn("_claims", all_matches(text, _TIMELINE))
+              .withColumn("_supported", all_matches(cited_text, _TIMELINE, 1))
               .withColumn("_unsupported", unsupported)
               .withColumn("citations", report)
               .drop("_chunks", "_cited", "_claims", "_supported", "_unsupported"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import SPACE, search_tokens, strip
 from ..session import BROADCAST_LIMIT_BYTES, materialize, serialized_bytes, spread
+from .block_scores import Block, best_of
 
 GENERAL = "all"
 BLOCK_CHUNKS = 5000
@@ -264,15 +265,15 @@ def _pruned(queries: DataFrame, index: Index, block: int, k: int, seeds: int) ->
     return spread(scores, "query_id")
 
 
-def _one_by_one(parts: list[DataFrame]) -> list[DataFrame]:
+def _one_by_one(part: Callable[[int], DataFrame], index: Index) -> list[DataFrame]:
     """Store the result of every block before the next one is broadcast, so that one block at a time is held."""
-    return parts if len(parts) == 1 else [materialize(part, "block") for part in parts]
+    return [part(0)] if index.n_blocks == 1 else [materialize(part(b), "block") for b in range(index.n_blocks)]
 
 
 def bm25_scores(queries: DataFrame, index: Index, product: str | None = "product") -> DataFrame:
     """`(query_id, id, score)` of all chunks that share a term with the query, unranked."""
     q = _scoped(queries, index, product)
-    parts = _one_by_one([_scored(q, index, b) for b in range(index.n_blocks)])
+    parts = _one_by_one(lambda b: _scored(q, index, b), index)
     hits = reduce(DataFrame.unionByName, parts).filter("place is not null")
     return hits.select("query_id", F.col("place.id").alias("id"), "score")
 
@@ -285,14 +286,38 @@ def _entry(place: Column, score: Column) -> Column:
     return F.struct((-F.round(score, SCORE_DIGITS)).alias("o"), place.alias("place"), score.alias("score"))
 
 
+def _arrays(index: Index, block: int) -> Block:
+    """A block's postings as arrays. It is small enough to broadcast, and goes to the tasks the same way, through the driver."""
+    by_place = Window.partitionBy("block")
+    slots = (index.places.filter(F.col("block") == block).select("block", "cls", F.explode("places").alias("place")).distinct()
+             .select("cls", "place", (F.dense_rank().over(by_place.orderBy("place")) - 1).alias("at"),
+                     (F.row_number().over(by_place.orderBy("place", "cls")) - 1).alias("slot")))
+    posted = index.postings.filter(F.col("block") == block).select("term", "cls", F.inline("items"))
+    posted = posted.join(F.broadcast(slots.select("cls", "place", "slot")), ["cls", "place"])
+    return Block.of(slots.toArrow(), posted.select("term", "slot", "weight").toArrow())
+
+
+def _counted_top(queries: DataFrame, index: Index, block: int, k: int) -> DataFrame:
+    """`(query_id, best)`: the best `k` candidates of a block as one array, chunks without a shared term included.
+
+    Texts are scored as they pass by; nothing is exchanged and no token becomes a row.
+    """
+    texts = queries.join(F.broadcast(index.scopes.select("scope", "allowed")), "scope", "left")
+    texts = texts.select("query_id", "scope", "allowed", F.col("text").cast("binary").alias("text")).sortWithinPartitions("query_id", "scope")
+    place = index.postings.schema["items"].dataType.elementType["place"].dataType
+    entry = T.StructType([T.StructField("o", T.DoubleType()), T.StructField("place", place), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([queries.schema["query_id"], T.StructField("best", T.ArrayType(entry))])
+    return texts.mapInArrow(best_of(_arrays(index, block), k, SCORE_DIGITS), schema)
+
+
 def _block_top(queries: DataFrame, index: Index, block: int, k: int, seeds: int) -> DataFrame:
-    """The best `k` candidates of a block per query as one array, chunks without a shared term included.
+    """`_counted_top` for a block of many groups, most of which are left out.
 
-    Those have score 0 and come in corpus order; the first `k + matched` candidates of a class hold at least `k` of
+    Chunks without a shared term have score 0 and come in corpus order; the first `k + matched` candidates of a class hold at least `k` of
     them, or all there are. A query with `k` positive scores needs none, so only the others look at them, and
     groups are left out only for a query that has `k` positive scores.
     """
-    scored = _scored(queries, index, block) if index.n_groups <= seeds else _pruned(queries, index, block, k, seeds)
+    scored = _pruned(queries, index, block, k, seeds)
     hit = F.when(F.col("place").isNotNull(), _entry(F.col("place"), F.col("score")))
     hits = scored.groupBy("query_id", "scope").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     short = (F.size("hits") < k) | (F.get("hits", F.lit(k - 1))["score"] <= 0)
@@ -314,7 +339,8 @@ def search(queries: DataFrame, index: Index, k: int = 4, product: str | None = "
     still reach its `k`-th best score.
     """
     q = _scoped(queries, index, product)
-    tops = _one_by_one([_block_top(q, index, b, k, seeds) for b in range(index.n_blocks)])
+    top = (lambda b: _counted_top(q, index, b, k)) if index.n_groups <= seeds else (lambda b: _block_top(q, index, b, k, seeds))
+    tops = _one_by_one(top, index)
     best = tops[0]
     if len(tops) > 1:
         # Partitioned again by name: a union need not keep what its parts share.
