@@ -78,3 +78,14 @@ def test_timelines_are_found_at_digits_only(spark):
         row = df.select(all_matches(F.col("t"), plain, group).alias("a"), all_matches(F.col("t"), guardrails._TIMELINE, group).alias("b")).collect()
         assert [r.a for r in row] == [r.b for r in row]
     assert sum(len(r.a) for r in row) == 8
+
+
+def test_an_id_with_several_scopes(spark):
+    """Its scores are those of the first scope; another one adds places without a score if it has too few with one."""
+    rows = [("c#0", "c", "t", ["de"], "w1", 0), ("c#1", "c", "t", ["en"], "w1 w2", 1), ("c#2", "c", "t", ["en"], "w2", 2), *[(f"c#{i}", "c", "t", ["es"], "w9", i) for i in range(3, 9)]]
+    index = retrieval.build_index(materialize(spark.createDataFrame(rows, CHUNK).repartition(1)))
+    for query in (7, None):
+        asked = spark.createDataFrame([(query, "w1", "de"), (query, "w2", "en"), (query, "w1", "de")], QUERY).coalesce(1)
+        for k, want in ((1, ["c#0"]), (3, ["c#0", "c#1", "c#2"]), (4, ["c#0", "c#1", "c#2"]), (2, ["c#0"])):
+            got = retrieval.search(asked, index, k=k).orderBy("rank").collect()
+            assert [r.id for r in got] == want and got[0].score > 0 and all(r.score == 0 for r in got[1:])

@@ -72,65 +72,74 @@ class Block:
         flat = np.bincount(cells, np.repeat(counts, sizes) * self.weights[at], minlength=len(found) * len(self.classes))
         return flat.astype(np.float64).reshape(len(found), len(self.classes))  # integers if there is nothing to add up
 
-    def best(self, found: list[tuple[np.ndarray, np.ndarray]], masks: list[np.ndarray], k: int, digits: int) -> pa.Array:
-        """Each query's best `k` places as `(o, place, score)`: those of its scope by score, equal ones in the order of places."""
+    def best(self, found: list[tuple[np.ndarray, np.ndarray]], masks: list[np.ndarray], leads: list[int], k: int, digits: int) -> pa.Array:
+        """Each query's best `k` places as `(o, place, score)`: those of its scope by score, equal ones in the order of places.
+
+        `leads` is where a query's scopes begin. Its scores are those in the first one; the others add their places without a
+        score, if they have fewer than `k` with one.
+        """
         scores, mask = self.scores(found), np.stack(masks)
         if len(self.first) < len(self.classes):
             scores = np.add.reduceat(np.where(mask, scores, 0.0), self.first, axis=1)
             mask = np.logical_or.reduceat(mask, self.first, axis=1)
+        if len(leads) < len(found):
+            short = (mask & (scores > 0)).sum(axis=1) < k
+            others = np.logical_or.reduceat(mask & short[:, None], leads, axis=0)
+            scores, mask = np.where(mask, scores, 0.0)[leads], mask[leads] | others
         order = np.where(mask, -np.round(scores, digits), np.inf)
         if k < order.shape[1]:
             mask = mask & (order <= np.partition(order, k - 1, axis=1)[:, k - 1:k])
         rows, cols = np.nonzero(mask)
         ranked = np.lexsort((cols, order[rows, cols], rows))
-        starts = np.searchsorted(rows, np.arange(len(found) + 1))
+        starts = np.searchsorted(rows, np.arange(len(leads) + 1))
         ranked = ranked[np.arange(len(rows)) - starts[rows] < k]
         rows, cols = rows[ranked], cols[ranked]
         items = pa.StructArray.from_arrays(
             [pa.array(order[rows, cols]), self.places.take(pa.array(cols)), pa.array(scores[rows, cols])], ["o", "place", "score"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(found) + 1)).astype(np.int32)), items)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(leads) + 1)).astype(np.int32)), items)
 
 
 def best_of(block: Block, k: int, digits: int):
-    """A map over Arrow batches of `(query_id, scope, allowed, text)`, ordered by id and scope, to `(query_id, best)`.
+    """A map over Arrow batches of `(query_id, scope, allowed, text)`, ordered by id, to `(query_id, best)`.
 
-    Rows of one id and scope are one query. Of an id with several scopes, the first one counts.
+    Rows of one id are one query, those of one id and scope one text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: i for i, t in enumerate(block.terms)}.get
         per_term, masks = np.diff(block.starts), {}
         none = pa.list_(pa.struct([("o", pa.float64()), ("place", block.places.type), ("score", pa.float64())]))
-        ids, found, wanted, held = [], [], [], 0
-        scope, kind = None, None
+        ids, leads, found, wanted, held = [], [], [], [], 0
+        scopes, kind = {}, None  # scopes of the last id, and where they are in `found`
 
         def flush() -> pa.RecordBatch:
-            best = block.best(found, wanted, k, digits) if len(block.classes) else pa.array([[]] * len(ids), none)
+            best = block.best(found, wanted, leads, k, digits) if len(block.classes) else pa.array([[]] * len(ids), none)
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), best], ["query_id", "best"])
 
         for batch in batches:
             kind = batch["query_id"].type
             for i, (query, s) in enumerate(zip(batch["query_id"].to_pylist(), batch["scope"].to_pylist(), strict=True)):
-                again = bool(ids) and query == ids[-1]
-                if again and s != scope:
-                    continue
+                if ids and query != ids[-1] and (held > CELLS or len(found) * len(block.classes) > CELLS):
+                    yield flush()
+                    ids, leads, found, wanted, held = [], [], [], [], 0
+                if not ids or query != ids[-1]:
+                    ids.append(query)
+                    leads.append(len(found))
+                    scopes = {}
                 words = tokens(batch["text"][i].as_py() or b"")
                 known = np.fromiter(map(number, words, repeat(-1)), np.int64, len(words))
                 terms, counts = np.unique(known[known >= 0], return_counts=True)
-                if again:
-                    terms, at = np.unique(np.concatenate([found[-1][0], terms]), return_inverse=True)
-                    counts = np.bincount(at, np.concatenate([found[-1][1], counts]), minlength=len(terms)).astype(np.int64)
-                    held += int(per_term[terms].sum() - per_term[found[-1][0]].sum())
-                    found[-1] = terms, counts
+                if s in scopes:
+                    before = found[scopes[s]]
+                    terms, at = np.unique(np.concatenate([before[0], terms]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([before[1], counts]), minlength=len(terms)).astype(np.int64)
+                    held += int(per_term[terms].sum() - per_term[before[0]].sum())
+                    found[scopes[s]] = terms, counts
                     continue
-                if ids and (held > CELLS or len(ids) * len(block.classes) > CELLS):
-                    yield flush()
-                    ids, found, wanted, held = [], [], [], 0
                 if s not in masks:
                     if len(masks) >= MASKS:
                         masks.clear()
                     masks[s] = block.mask(batch["allowed"][i].as_py())
-                scope = s
-                ids.append(query)
+                scopes[s] = len(found)
                 found.append((terms, counts))
                 wanted.append(masks[s])
                 held += int(per_term[terms].sum())

@@ -303,7 +303,7 @@ def _counted_top(queries: DataFrame, index: Index, block: int, k: int) -> DataFr
     Texts are scored as they pass by; nothing is exchanged and no token becomes a row.
     """
     texts = queries.join(F.broadcast(index.scopes.select("scope", "allowed")), "scope", "left")
-    texts = texts.select("query_id", "scope", "allowed", F.col("text").cast("binary").alias("text")).sortWithinPartitions("query_id", "scope")
+    texts = texts.select("query_id", "scope", "allowed", F.col("text").cast("binary").alias("text")).sortWithinPartitions("query_id")
     place = index.postings.schema["items"].dataType.elementType["place"].dataType
     entry = T.StructType([T.StructField("o", T.DoubleType()), T.StructField("place", place), T.StructField("score", T.DoubleType())])
     schema = T.StructType([queries.schema["query_id"], T.StructField("best", T.ArrayType(entry))])
