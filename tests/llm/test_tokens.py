@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 
 from textroute.llm import chunk_bpe as cb
 from textroute.llm import token_files as tf
-from textroute.llm.word_memo import BlankCut, slices
+from textroute.llm.word_memo import BlankCut, gathered, slices
 
 BYTE, WORD = public_tokenizers.path(tf.TOKENIZER), public_tokenizers.path(cb.TOKENIZER)
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b", "a\n\nb c", "it's  'S don't", "x<|endoftext|>y z", "<|startoftext|> b", "<|endof text|>",
@@ -57,6 +60,42 @@ def test_a_full_memo_is_emptied(kind):
         assert ids_of(small, [t, t]) == [library.encode(t, add_special_tokens=False).ids] * 2
 
 
+def test_known_pieces_cost_no_python_objects():
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    text = "\n".join(" ".join(rng.choices(names, k=1000)) for _ in range(200))
+    encoder = BlankCut(BYTE)
+    want = encoder.encode([text])
+    tracemalloc.start()
+    got = encoder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and ids_of(encoder, [text])[0] == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    assert peak < 8 * len(text)  # as strings in a list the pieces alone take 12 times the text
+
+
+def test_blanks_beside_line_breaks_and_texts_of_one_piece():
+    library, encoder = Tokenizer.from_file(BYTE), BlankCut(BYTE)
+    items = ["b \nb", "b", "\nb b", "b \n", "b\nb b\n", " b", "b  b", "b\n\nb \nb", "\n", " \n b", "b\t b", "b \tb", "b" * 5000, "\n" * 3, "b b\nb"]
+    for _ in range(2):
+        assert ids_of(encoder, items) == [library.encode(t, add_special_tokens=False).ids for t in items]
+        assert [ids_of(encoder, [t])[0] for t in reversed(items)] == ids_of(encoder, items)[::-1]
+    assert encoder.encode([]) == []
+    assert max(map(len, encoder.words.to_pylist())) < 300  # a long piece is forgotten
+
+
+def test_small_batches_are_put_together():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(i, i + 4))}) for i in range(0, 28, 4)]
+    assert [t["x"].to_pylist() for t in gathered(batches, 64)] == [list(range(8)), list(range(8, 16)), list(range(16, 24)), list(range(24, 28))]
+    assert list(gathered([], 64)) == []
+
+
+def test_pieces_are_encoded_alone_where_cuts_fail():
+    library, encoder = Tokenizer.from_file(BYTE), BlankCut(BYTE)
+    encoder.width = encoder.width + 1
+    assert ids_of(encoder, ODD) == [library.encode(t, add_special_tokens=False).ids for t in ODD]
+
+
 def test_chunks_are_cut_by_content_and_reused():
     rng = random.Random(2)
     passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(2000))
@@ -110,6 +149,16 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
     assert ranks[0] == library.encode(" word", add_special_tokens=False).ids[0]
 
 
+def test_ranks_follow_the_counts_of_all_partitions(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("the of and to in is that for it on".split(), k=i % 40)), "", "") for i in range(300)]
+    tf.write_tokens(spark.createDataFrame(rows, DOCS).repartition(3), str(tmp_path), BYTE)
+    library = Tokenizer.from_file(BYTE)
+    counts = Counter(i for _, t, *_ in rows for i in [*library.encode(t, add_special_tokens=False).ids, tf.END_ID])
+    got = [r.id for r in spark.read.parquet(f"{tmp_path}/ranks").orderBy("rank").collect()]
+    assert got == sorted(counts, key=lambda i: (-counts[i], i))
+
+
 def test_digests_of_odd_rows(spark):
     rows = [(1, None, "", ""), (None, "Hello World", "", ""), (1, "x", "", ""), (1, "x", "", "")]
     got = sorted((tuple(r) for r in cb.digests(spark.createDataFrame(rows, DOCS), WORD).collect()), key=str)

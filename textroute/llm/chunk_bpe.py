@@ -114,7 +114,7 @@ class ChunkCut(Pieces):
         self.stats["encoded"] += len(new)
         fresh = {part: Chunk(part) for part in new}
         seen = set().union(*(chunk.words for chunk in fresh.values()))
-        self.memo.update(self.learn(self.unknown(seen), ""))
+        self.memo.update(self.learn(self.unknown(seen)))
         for part, chunk in fresh.items():
             chunk.ids = list(map(self.memo.__getitem__, chunk.words))
             self.chars += len(part)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textroute.llm.registry import query, table
-from textroute.llm.word_memo import BlankCut, shared, slices
+from textroute.llm.word_memo import MANY_CHARS, BlankCut, gathered, shared, slices
 from textroute.session import work_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,27 +36,33 @@ END_ID = 2
 MAGIC = b"TKV1"
 HEADER = struct.Struct("<4s4Q")
 #: The four sizes that each control byte stands for.
-SIZES = 1 + (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3)
+SIZES = (1 + (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3)).astype(np.uint8)
+#: How often a partition has each id it has.
+TALLY = np.dtype([("id", "<u4"), ("n", "<i8")])
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and rank bytes of an array of ranks below 2**32."""
     ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    four[:len(ranks)] = sizes - 1
-    control = (four.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    kept = np.arange(4) < sizes[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    sizes = np.ones(len(ranks), np.uint8)
+    for bits in (8, 16, 24):
+        sizes += ranks >= 1 << bits
+    four = np.zeros((-(-len(ranks) // 4), 4), np.uint8)
+    four.reshape(-1)[:len(ranks)] = sizes - 1
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    width = int(sizes.max(initial=1))
+    kept = np.arange(width, dtype=np.uint8) < sizes[:, None]
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][kept].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ranks, found by looking up control bytes."""
     sizes = SIZES[control].reshape(-1)[:n]
-    places = np.cumsum(sizes) - sizes
-    out, padded = np.zeros(n, np.uint32), np.concatenate([data, np.zeros(3, np.uint8)])
-    for k in range(int(sizes.max()) if n else 0):
-        out |= np.where(sizes > k, padded[places + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    places = np.cumsum(sizes, dtype=np.int64) - sizes
+    out = data[places].astype(np.uint32)
+    for k in range(1, int(sizes.max(initial=1))):
+        longer = np.flatnonzero(sizes > k)
+        out[longer] |= data[places[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -82,7 +88,8 @@ def read_block(block: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndar
     return first, [i if k else None for i, k in zip(ids, known, strict=True)], lengths, unpack(control, data, n)
 
 
-IDS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+IDS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("tally", pa.binary())])
+IDS_DDL = "part int, before long, doc_id long, n long, ids binary, tally binary"
 COUNTS = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 BLOCKS = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("block", pa.binary())])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -92,26 +99,34 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, size: int):
+    """A row for each document, and one that has only the partition's tally."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = shared(BlankCut, path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
+        total = np.zeros(size, np.int64)
+        for batch in gathered(batches, MANY_CHARS):
             texts, doc_ids = [t or "" for t in batch["text"].to_pylist()], batch["doc_id"].to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, MANY_CHARS):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
                 n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
-                yield _batch(IDS, np.full(b - a, part), before + np.cumsum(n) - n, doc_ids[a:b], n, ids)
+                yield _batch(IDS, np.full(b - a, part), before + np.cumsum(n) - n, doc_ids[a:b], n, ids, [None] * (b - a))
                 before += int(n.sum())
+                total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=size)
+        seen = np.flatnonzero(total)
+        tally = np.empty(len(seen), TALLY)
+        tally["id"], tally["n"] = seen, total[seen]
+        yield _batch(IDS, [part], [before], [None], [0], [None], [tally.tobytes()])
     return run
 
 
-def _count(dtype: str, size: int):
+def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            for tally in batch["tally"]:
+                tally = np.frombuffer(tally.as_buffer(), TALLY)
+                total[tally["id"]] += tally["n"]
         seen = np.flatnonzero(total)
         yield _batch(COUNTS, seen, total[seen])
     return run
@@ -146,11 +161,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     ids_path = work_path(spark, "ids")
-    (ordered.mapInArrow(_tokenise(tokenizer, end_id), "part int, before long, doc_id long, n long, ids binary")
-     .write.option("compression", "zstd").parquet(ids_path))
-    ids = spark.read.schema("part int, before long, doc_id long, n long, ids binary").parquet(ids_path)
+    ordered.mapInArrow(_tokenise(tokenizer, end_id, size), IDS_DDL).write.option("compression", "zstd").parquet(ids_path)
+    ids = spark.read.schema(IDS_DDL).parquet(ids_path)
     # Both tables are small by nature: a row for each id of the vocabulary, and a row for each partition.
-    counts = (ids.select("ids").mapInArrow(_count(dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect())
+    tallies = ids.filter("tally is not null").select("tally")
+    counts = tallies.mapInArrow(_count(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     totals = {r["part"]: r["n"] for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     by_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     rank = np.zeros(size, np.uint32)
@@ -159,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     offsets, at = {}, 0
     for part in sorted(totals):
         offsets[part], at = at, at + totals[part]
-    (ids.mapInArrow(_blocks(dtype, rank, offsets), "part int, first long, block binary")
+    (ids.filter("tally is null").drop("tally").mapInArrow(_blocks(dtype, rank, offsets), "part int, first long, block binary")
      .sortWithinPartitions("part", "first")
      .write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
