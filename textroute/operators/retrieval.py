@@ -375,7 +375,8 @@ def cosine_search(queries: DataFrame, index: Index, k: int = 4, product: str | N
     return hits.select("query_id", "rank", "id", F.coalesce(F.col("score") / F.col("_norm"), F.lit(0.0)).alias("score"))
 
 
-VECTOR_BLOCK = 4096
+# Rows of a block of queries and of vectors, and queries whose scores are looked at together.
+VECTOR_BLOCK, VECTOR_STRIP = 4096, 256
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 4, block: int = VECTOR_BLOCK) -> DataFrame:
@@ -408,9 +409,24 @@ def _nearest(k: int):
         chunks = chunks.sort_values("id")
         if queries.empty or chunks.empty:
             return pd.DataFrame({"query_id": queries["query_id"][:0], "id": chunks["id"][:0], "score": np.zeros(0)})
-        scores = unit(queries["query_id_vector"]) @ unit(chunks["id_vector"]).T
-        # Stable, so that equal scores stay in the order of ids.
-        best = np.argsort(-np.round(scores, SCORE_DIGITS), axis=1, kind="stable")[:, :k]
+        asked, vectors = unit(queries["query_id_vector"]), unit(chunks["id_vector"]).T
+        parts = [_best(asked[i:i + VECTOR_STRIP] @ vectors, k) for i in range(0, len(asked), VECTOR_STRIP)]
+        best, scores = (np.concatenate(x) for x in zip(*parts))
         return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), best.shape[1]),
-                             "id": chunks["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, axis=1).ravel()})
+                             "id": chunks["id"].to_numpy()[best.ravel()], "score": scores.ravel()})
     return run
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and scores of each row's best `k`, equal ones in the order of places; NaN comes last.
+
+    Only what reaches the `k`-th best score after rounding is sorted.
+    """
+    k = min(k, scores.shape[1])
+    rank = np.where(np.isnan(scores), -np.inf, scores) if np.isnan(scores).any() else scores
+    least = np.round(np.partition(rank, -k, axis=1)[:, -k], SCORE_DIGITS)
+    row, place = np.nonzero(rank >= (least - 10.0 ** -SCORE_DIGITS)[:, None])
+    order = np.lexsort((place, -np.round(rank[row, place], SCORE_DIGITS), row))
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    best = place[order][starts[:, None] + np.arange(k)]
+    return best, np.take_along_axis(scores, best, axis=1)
