@@ -65,6 +65,17 @@ def test_components_equal_all_pairs(spark, family):
     assert [got[f] for f in signed] == brute_components(fps)
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark takes 64 rows a fingerprint for one, so it would broadcast all of them."""
+    fps = spark.range(100).selectExpr("id as fp")
+    sigs = nd.signatures(fps)
+    hot = sigs.select("seg", "bit", "rest").limit(1)
+    for edges in (nd._plain_links(sigs, hot), nd._family_links(sigs, hot)):
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "Inner" in line]
+
+
 def test_all_rows_of_odd_input(spark):
     rows = [(7, "a b c d", "x", None), (3, "A  b c D", "x", None), (9, None, None, None), (4, "", None, None), (None, "only this", "", ""),
             (3, "A  b c D", "x", None), (5, " \n ", None, None), (8, "w " * 60000, None, None)]

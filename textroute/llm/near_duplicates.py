@@ -9,6 +9,8 @@ A signature that many distinct fingerprints share (a large family of near copies
 itself. There, links go through keys that delete further bits: two fingerprints of a family link
 exactly if they share such a key, and each key's fingerprints are tied to its smallest one. The work
 is linear in the family and loses no connection.
+
+Joins of exploded rows ask for a sort-merge: Spark takes them for as small as the rows before, and would broadcast them.
 """
 from __future__ import annotations
 
@@ -79,7 +81,7 @@ def _plain_links(sigs: DataFrame, hot: DataFrame) -> DataFrame:
     near = f"bit_count({seg('fp ^ other', 'seg')})"
     # Equal segments meet under every deleted bit: the first counts. A pair near in both segments meets in both: the lower counts.
     once = f"({near} = 1 or bit = 0) and (seg = 0 or bit_count({seg('fp ^ other', 0)}) > 1)"
-    return (left.join(right, key).filter(f"fp < other and bit_count(fp ^ other) <= {RADIUS} and {once}")
+    return (left.join(right.hint("merge"), key).filter(f"fp < other and bit_count(fp ^ other) <= {RADIUS} and {once}")
             .select("fp", "other"))
 
 
@@ -104,7 +106,7 @@ def _family_links(sigs: DataFrame, hot: DataFrame) -> DataFrame:
     keyed = two.unionByName(three)
     key = ["seg", "bit", "fixed", "left_over", "mask"]
     first = keyed.groupBy(*key).agg(F.min("fp").alias("other"), F.max("fp").alias("last")).filter("other < last").drop("last")
-    return keyed.join(first, key).filter("fp != other").select("fp", "other").distinct()
+    return keyed.join(first.hint("merge"), key).filter("fp != other").select("fp", "other").distinct()
 
 
 def links(fps: DataFrame, family: int = FAMILY) -> DataFrame:
