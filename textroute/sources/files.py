@@ -78,9 +78,14 @@ def append_log(df: DataFrame, path: str) -> str:
     return path
 
 
+# Options of a write or read of many small files: on a local or mounted disk, no checksum file beside each and no process started to
+# set each one's rights. Other stores don't read them.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """`(source, raw)`: file name and whole text of every page."""
-    pages = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    pages = spark.read.option("pathGlobFilter", pattern).options(**PLAIN_LOCAL).text(folder, wholetext=True)
     return pages.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("raw"))
 
 
